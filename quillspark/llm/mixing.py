@@ -12,7 +12,8 @@
 Everything is DataFrame expressions; the driver sees the fitted tables and D sums a step.
 Defined cases: a null or wordless text has 0 tokens, the domains' prior as posterior, and the rate fitted for that; labels
 of unknown documents are unused; without any labelled document every document belongs to ``unlabelled`` alone; an empty
-table gives no rows; a target for a domain that no document can supply is left unmet; other columns pass through.
+table gives no rows; a target for a domain that no document can supply is left unmet; if no
+target names a domain that there is, every rate is 1; other columns pass through.
 """
 
 from __future__ import annotations
@@ -116,7 +117,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     sums = lambda r: [F.coalesce(F.sum(r * F.col("tokens") * F.element_at("p", d + 1)), F.lit(0.0)) for d in range(len(domains))]
     have = list(members.agg(*sums(F.lit(1.0))).first())
     total = sum(have) if tokens is None else tokens
-    weight = sum(targets.get(d, 0.0) for d in domains) or 1.0
+    weight = sum(targets.get(d, 0.0) for d in domains)
+    if not weight:
+        return members.withColumn("rate", F.lit(1.0)), []
     wanted = [total * targets.get(d, 0.0) / weight for d in domains]
     steps: list[list[float]] = []
     got = have
