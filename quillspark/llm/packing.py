@@ -33,7 +33,7 @@ END_ID = 1
 #: Remainders are not cut below this many ids.
 SHORTEST = 64
 #: Words kept with their ids by a Python worker, twice: of two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 #: White space or case rules that a cut at ASCII white space would not follow: such texts go to the tokenizer whole.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0Σ ᠎ -‏ -  ⁠　﻿]|<\\|")
 
@@ -51,19 +51,33 @@ class WordIds:
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
+    def _encode(self, words: list[str]) -> None:
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            for w, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self._young[w] = np.array(e.ids, "<u4").tobytes()
+
     def _learn(self, words: set[str]) -> None:
+        """Letters and the mark behind them are cut apart by the tokenizer too, so ``word,`` needs ``word`` and ``,``."""
         old, young = self._old, self._young
-        fresh = []
+        fresh, marked = set(), []
         for w in words:
             known = old.get(w)
-            if known is None:
-                fresh.append(w)
-            else:
+            if known is not None:
                 young[w] = known
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for w, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                young[w] = np.array(e.ids, "<u4").tobytes()
+            elif w[-1] in ".," and w[:-1].isalpha():
+                marked.append(w)
+                for part in (w[:-1], w[-1]):
+                    if part not in young:
+                        if part in old:
+                            young[part] = old[part]
+                        else:
+                            fresh.add(part)
+            else:
+                fresh.add(w)
+        self._encode(list(fresh))
+        for w in marked:
+            young[w] = young[w[:-1]] + young[w[-1]]
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
