@@ -80,7 +80,6 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, hot_share: int = 64) -> Dat
     out = rows.where(~is_hot).join(groups.where(~is_hot), "digest")
     if hot:
         out = out.unionByName(rows.where(is_hot).join(F.broadcast(groups.where(is_hot)), "digest"))
-    # Repeated rows share a doc_id: of those only one is kept.
     return out.select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
@@ -104,7 +103,7 @@ FROM d JOIN g ON d.text_sha256 = g.text_sha256
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The documents that stay, in all their columns. A repeated (doc_id, text) row stays once."""
+    """The documents that stay, in all their columns; repeats of one (doc_id, text) are one document and stay together."""
     kept = exact_dedup(docs, index).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_d"))
     kept = kept.dropDuplicates()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]) & (digest() == kept["_d"]), "left_semi")
