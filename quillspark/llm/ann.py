@@ -3,9 +3,14 @@
 The measure is the inner product. Trees are fitted on a bounded sample (``sample`` vectors): a node's direction is the
 difference of two random members, its threshold the members' median projection. To make large inner products near, vectors
 get one more component, sqrt(M^2 - |x|^2); a query's is 0. Every vector goes down every tree to one leaf. A query walks all
-trees with one priority queue ordered by the least margin on the way, and takes leaves until they hold ``search_k`` entries:
-where there are no more than that, it sees every vector. In each leaf all its queries meet all its vectors as two matrices;
-finalists are scored again on the original vectors in double precision, and the best over all leaves remain.
+trees with one priority queue ordered by the largest margin crossed on the way, and takes leaves until they hold
+``search_k`` entries: where there are no more than that, it sees every vector. In each leaf all its queries meet all its
+vectors as two matrices; finalists are scored again on the original vectors in double precision, and the best over all
+leaves remain.
+
+How many entries are enough depends on the data (the less it clusters, the more), so it is measured: ``probes`` queries
+are answered by a scan of all vectors in blocks, and ``search_k`` is the least number at which the walk finds ``recall`` of their
+true neighbours. ``search_k`` may also be given.
 
 Equal vectors: a result never needs more than the k + 1 least ids of one vector, so the others are left out of the leaves
 (no result can change); equal queries are searched once. Large leaves are cut into parts of ``PART`` vectors by hash.
@@ -31,7 +36,9 @@ from .common import materialize, table
 
 TREES = 10
 LEAF = 256
-SEARCH_K = 24_000
+LEAST_K = 10_000
+RECALL = 0.96
+PROBES = 128
 SAMPLE = 20_000
 PART = 4096
 
@@ -99,6 +106,45 @@ class Forest:
         return found
 
 
+def _scan(queries: np.ndarray, k: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("v"), length).astype(np.float64)
+                ids = batch.column("id").to_numpy()
+                at = {int(i): r for r, i in enumerate(ids)}
+                for q, (best, scores) in enumerate(rerank(queries, ids, x, k)):
+                    rows = pa.array([at[int(i)] for i in best])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(best), q)), batch.column("id").take(rows), batch.column("v").take(rows), pa.array(scores)],
+                        names=["probe", "id", "v", "score"])
+
+    return run
+
+
+def calibrate(indexed: DataFrame, probes: DataFrame, forest: Forest, sizes: np.ndarray, length: int, k: int, recall: float) -> int:
+    """Least number of entries at which the probes (``id``, ``v``) find ``recall`` of their ``k`` true neighbours on the mean."""
+    asked = probes.toArrow()
+    if not asked.num_rows:
+        return LEAST_K
+    queries = _matrix(asked.column("v").combine_chunks(), length)
+    found = indexed.mapInArrow(_scan(queries.astype(np.float64), k + 1, length), "probe long, id long, v array<float>, score double")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "id")
+    true = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("probe", "id", "v").toArrow()
+    probe, near = true.column("probe").to_numpy(), _matrix(true.column("v").combine_chunks(), length)
+    other = true.column("id").to_numpy() != asked.column("id").to_numpy()[probe]
+    homes = forest.leaves(forest.lift(near, forest.bound))
+    needed = []
+    for q in range(len(queries)):
+        walk = forest.search(queries[q], sizes, int(sizes.sum()) + 1)
+        entries = np.cumsum(sizes[walk])
+        first = np.full(len(sizes), int(sizes.sum()))
+        first[walk] = entries
+        needed += first[homes[(probe == q) & other][:k]].min(1).tolist()
+    needed.sort()
+    return max(LEAST_K, needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) if needed else LEAST_K
+
+
 def usable(vector: Column, length: int) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vector.isNotNull() & (F.size(vector) == length) & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
@@ -185,8 +231,8 @@ def _meet(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, leaf: int = LEAF, search_k: int = SEARCH_K,
-            sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, leaf: int = LEAF, search_k: int | None = None,
+            recall: float = RECALL, probes: int = PROBES, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best found for every row that ``is_query`` (of ``id`` and ``v``)."""
     spark = vectors.sparkSession
     read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id IS NOT NULL")
@@ -212,6 +258,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
         sizes[r["leaf"]] = r["n"]
     asked = keyed.where(is_query)
     distinct = asked.groupBy("key").agg(F.min("id").alias("id"), F.first("v").alias("v"))
+    if search_k is None:
+        tried = distinct.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(probes).select("id", "v")
+        search_k = calibrate(indexed, tried, forest, sizes, length, k, recall)
     routed = distinct.select("id", "v").mapInArrow(_route(forest, sizes, length, search_k), "leaf long, part long, id long, v array<float>")
     placed = indexed.mapInArrow(_place(forest, sizes, length), "leaf long, part long, id long, v array<float>")
     met = routed.groupBy("leaf", "part").cogroup(placed.groupBy("leaf", "part")).applyInPandas(_meet(k + 1), "query long, vec_id long, score double")

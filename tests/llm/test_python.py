@@ -321,6 +321,9 @@ def test_nearest_recall(spark):
     got = as_lists(ann.nearest(vectors(spark, rows), F.col("id") % 20 == 0, leaf=32, search_k=3000).collect())
     want = brute_nearest(rows)
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    hard = [(i, rng.normal(size=8).tolist()) for i in range(6000)]  # nothing clusters: the walk is as long as it must be
+    got, want = as_lists(ann.nearest(vectors(spark, hard), F.col("id") % 20 == 0, leaf=32).collect()), brute_nearest(hard)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
 # -- language ID -----------------------------------------------------------------------------------------------------
