@@ -3,10 +3,10 @@
 1. A naive-Bayes classifier over hashed words is trained from a labelled table and gives every document a posterior over
    the domains (``soft membership``). Training reads a bounded sample of the labelled rows (``train_rows``), counts are
    grouped aggregates over ``BUCKETS`` word buckets and the domains, so the fitted table has a fixed size.
-2. With a[i,d] = tokens_i * posterior_i,d, rates r >= 0 minimise sum_d ((sum_i r_i a[i,d] - T_d) / s_d)^2 by projected
-   gradient steps in the metric of the tokens: r_i <- max(0, r_i - step * sum_d p[i,d] g_d), where
-   g_d = (sum_i r_i a[i,d] - T_d) / A_d and A_d = sum_i a[i,d]. Each step is one distributed aggregate of a few sums;
-   a document's rate is a fold over the gradients so far, so no step's table is kept.
+2. With a[i,d] = tokens_i * p[i,d], rates r >= 0 minimise the squared distance of sum_i r_i a[i,.] from the targets T, in
+   the metric of G = sum_i tokens_i p_i p_i' : projected gradient steps r_i <- max(0, r_i - p_i . G^-1 (sum_j r_j a[j,.] - T)),
+   whose step length is one. Each is one distributed aggregate of D sums; a document's rate is an expression over the steps
+   so far, written down every few steps.
 3. A rate becomes copies: floor(rate), and one more when a hash of the document's key falls under the fraction.
 
 Everything is DataFrame expressions; the driver sees the fitted tables and D sums a step.
@@ -98,37 +98,59 @@ def posteriors(docs: DataFrame, domains: list[str], prior: dict[str, float], lik
     return agg.select("doc_id", "_h", "tokens", F.transform("z", lambda x: x / norm).alias("p"))
 
 
-def _rate(steps: list[list[float]], start: float) -> Column:
-    """The rate after the gradients so far: one fold for a document."""
-    if not steps:
-        return F.lit(start)
-    flat = F.lit([x for g in steps for x in g])
-    dims = len(steps[0])
-    def step(r, k):
-        move = sum((F.element_at(F.col("p"), d + 1) * F.element_at(flat, k * dims + d + 1) for d in range(dims)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), r - move)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(float(start)), step)
+#: Steps that are one expression; after so many, rates are written down and the next begin from there.
+STEPS_AT_ONCE = 8
+
+
+def _rate(steps: list[list[float]]) -> Column:
+    """The rate after further steps: nested expressions over the row alone."""
+    rate = F.col("rate")
+    for g in steps:
+        move = sum((F.element_at("p", d + 1) * F.lit(x) for d, x in enumerate(g)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate - move)
+    return rate
+
+
+def _solve(gram: list[list[float]], x: list[float]) -> list[float]:
+    """gram^-1 x for a few dimensions; a little on the diagonal makes empty or equal domains harmless."""
+    n = len(x)
+    ridge = 1e-9 * (sum(gram[i][i] for i in range(n)) or 1.0)
+    a = [[gram[i][j] + (ridge if i == j else 0.0) for j in range(n)] + [x[i]] for i in range(n)]
+    for i in range(n):
+        pivot = max(range(i, n), key=lambda r: abs(a[r][i]))
+        a[i], a[pivot] = a[pivot], a[i]
+        for r in range(n):
+            if r != i:
+                f = a[r][i] / a[i][i]
+                a[r] = [u - f * v for u, v in zip(a[r], a[i])]
+    return [a[i][n] / a[i][i] for i in range(n)]
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], tokens: float | None = None,
               tolerance: float = 1e-4, most_steps: int = 60) -> tuple[DataFrame, list[list[float]]]:
     """``members`` with ``rate``. ``targets``: weight of each domain, normalised; ``tokens``: the total wanted (default:
     as many as there are). Stops when no domain is off by more than ``tolerance`` of the total, or after ``most_steps``."""
-    sums = lambda r: [F.coalesce(F.sum(r * F.col("tokens") * F.element_at("p", d + 1)), F.lit(0.0)) for d in range(len(domains))]
-    have = list(members.agg(*sums(F.lit(1.0))).first())
-    total = sum(have) if tokens is None else tokens
+    dims = range(len(domains))
+    p = [F.element_at("p", d + 1) for d in dims]
+    sums = lambda r: [F.coalesce(F.sum(r * F.col("tokens") * p[d]), F.lit(0.0)) for d in dims]
+    members = members.withColumn("rate", F.lit(1.0))
+    pairs = [F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)) for i in dims for j in dims]
+    got, *flat = (lambda row: (list(row[: len(domains)]), *row[len(domains) :]))(members.agg(*sums(F.col("rate")), *pairs).first())
+    gram = [flat[i * len(domains) : (i + 1) * len(domains)] for i in dims]
+    total = sum(got) if tokens is None else tokens
     weight = sum(targets.get(d, 0.0) for d in domains)
     if not weight:
-        return members.withColumn("rate", F.lit(1.0)), []
+        return members, []
     wanted = [total * targets.get(d, 0.0) / weight for d in domains]
     steps: list[list[float]] = []
-    got = have
-    for _ in range(most_steps):
-        if not total or max(abs(g - w) for g, w in zip(got, wanted)) <= tolerance * total:
-            break
-        steps.append([(g - w) / h if h else 0.0 for g, w, h in zip(got, wanted, have)])
-        got = list(members.agg(*sums(_rate(steps, 1.0))).first())
-    return members.withColumn("rate", _rate(steps, 1.0)), steps
+    fresh = 0
+    while total and len(steps) < most_steps and max(abs(g - w) for g, w in zip(got, wanted)) > tolerance * total:
+        if fresh == STEPS_AT_ONCE:
+            members, fresh = materialize(members.withColumn("rate", _rate(steps[-fresh:])), "rates"), 0
+        steps.append(_solve(gram, [g - w for g, w in zip(got, wanted)]))
+        fresh += 1
+        got = list(members.agg(*sums(_rate(steps[-fresh:]))).first())
+    return members.withColumn("rate", _rate(steps[-fresh:]) if fresh else F.col("rate")), steps
 
 
 #: Production weights of the domains that the labels table defines.
