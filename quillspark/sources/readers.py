@@ -26,7 +26,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def decode(data: Column) -> Column:
     """UTF-8 (a byte order mark is dropped), else Latin-1."""
-    text = F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, F.lit("ISO-8859-1")))
+    text = F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "ISO-8859-1"))
     return F.regexp_replace(text, "^﻿", "")
 
 
