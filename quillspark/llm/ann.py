@@ -5,15 +5,15 @@ difference of two random members, its threshold the members' median projection.
 get one more component, sqrt(M^2 - |x|^2); a query's is 0. Every vector goes down every tree to one leaf. A query walks all
 trees with one priority queue ordered by the largest margin crossed on the way, and takes leaves until they hold
 ``search_k`` entries: where there are no more than that, it sees every vector. In each leaf all its queries meet all its
-vectors as two matrices; finalists are scored again on the original vectors in double precision, and the best over all
-leaves remain.
+vectors as two matrices; finalists are scored again on the original vectors in double precision, and each query's best
+lists (one for some neighbouring leaves) are merged.
 
 How many entries are enough depends on the data (the less it clusters, the more), so it is measured: ``probes`` queries
 are answered by a scan of all vectors in blocks, and ``search_k`` is the least number at which the walk finds ``recall`` of their
 true neighbours. ``search_k`` may also be given.
 
 Equal vectors: a result never needs more than the k + 1 least ids of one vector, so the others are left out of the leaves
-(no result can change); equal queries are searched once. Large leaves are cut into parts of ``PART`` vectors by hash.
+(no result can change); equal queries are searched once. Groups of full leaves are cut into parts by hash.
 
 Defined cases: a vector that is null, zero, of other than the most frequent length, or holds a null or non-finite component
 takes no part; so does a null id; repeated ids are candidates of their own, but a query never finds its own id; an empty
@@ -40,7 +40,7 @@ LEAST_K = 10_000
 RECALL = 0.96
 PROBES = 128
 SAMPLE = 20_000
-PART = 4096
+PART = 16_384
 
 
 class Forest:
@@ -165,12 +165,16 @@ def _count_leaves(forest: Forest, length: int):
     return run
 
 
-def _parts(sizes: np.ndarray) -> np.ndarray:
-    return np.maximum(1, -(-sizes // PART))
+def _groups(sizes: np.ndarray, depth: int, leaf: int) -> tuple[int, np.ndarray]:
+    """Neighbouring leaves of a tree meet their queries together: bits of a leaf's number that its group drops, and how many
+    parts by hash a group has, so that a part holds about ``PART`` vectors however full its leaves are."""
+    shift = min(depth, max(0, int(math.log2(PART / leaf))))
+    total = np.add.reduceat(sizes, np.arange(0, len(sizes), 1 << shift))
+    return shift, np.maximum(1, -(-total // PART))
 
 
-def _place(forest: Forest, sizes: np.ndarray, length: int):
-    parts = _parts(sizes)
+def _place(forest: Forest, sizes: np.ndarray, leaf_size: int, length: int):
+    shift, parts = _groups(sizes, forest.depth, leaf_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,26 +182,29 @@ def _place(forest: Forest, sizes: np.ndarray, length: int):
                 continue
             leaf = forest.leaves(forest.lift(_matrix(batch.column("v"), length), forest.bound))
             ids = batch.column("id").to_numpy()
-            part = (ids[:, None] * 2654435761 % (1 << 31)) % parts[leaf]
+            group = leaf >> shift
+            part = (ids[:, None] * 2654435761 % (1 << 31)) % parts[group]
             for t in range(forest.trees):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf[:, t]), pa.array(part[:, t]), batch.column("id"), batch.column("v")], names=["leaf", "part", "id", "v"])
+                    [pa.array(group[:, t]), pa.array(part[:, t]), pa.array(leaf[:, t]), batch.column("id"), batch.column("v")], names=["group", "part", "leaf", "id", "v"])
 
     return run
 
 
-def _route(forest: Forest, sizes: np.ndarray, length: int, search_k: int):
-    parts = _parts(sizes)
+def _route(forest: Forest, sizes: np.ndarray, leaf_size: int, length: int, search_k: int):
+    shift, parts = _groups(sizes, forest.depth, leaf_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, query in enumerate(_matrix(batch.column("v"), length)) if batch.num_rows else ():
-                found = [(leaf, p) for leaf in forest.search(query, sizes, search_k) for p in range(parts[leaf])]
-                one = batch.slice(i, 1)
-                again = pa.array(np.zeros(len(found), np.int64))
+                by_group: dict[int, list[int]] = {}
+                for leaf in forest.search(query, sizes, search_k):
+                    by_group.setdefault(leaf >> shift, []).append(leaf)
+                found = [(g, p, leaves) for g, leaves in by_group.items() for p in range(parts[g])]
+                one, again = batch.slice(i, 1), pa.array(np.zeros(len(found), np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), one.column("id").take(again), one.column("v").take(again)],
-                    names=["leaf", "part", "id", "v"])
+                    [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())),
+                     one.column("id").take(again), one.column("v").take(again)], names=["group", "part", "leaves", "id", "v"])
 
     return run
 
@@ -216,21 +223,64 @@ def rerank(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) ->
         yield ids[some][best], exact[best]
 
 
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, id, score) of each query, without repeats, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    fresh = np.ones(len(query), bool)
+    fresh[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])  # repeats have equal scores, so they are neighbours
+    query, ids, scores = query[fresh], ids[fresh], scores[fresh]
+    first = np.searchsorted(query, query)
+    top = np.arange(len(query)) - first < k
+    return query[top], ids[top], scores[top]
+
+
 def _meet(k: int):
+    """Best lists of a group's queries over its vectors: one row a query."""
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(members):
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "ids": [], "scores": []})
+        members = members.sort_values("leaf", kind="stable")
+        x, ids, leaf = np.stack(members["v"].to_numpy()).astype(np.float64), members["id"].to_numpy(), members["leaf"].to_numpy()
         q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-        x = np.stack(members["v"].to_numpy()).astype(np.float64)
-        found = list(rerank(q, members["id"].to_numpy(), x, k))
+        visits: dict[int, list[int]] = {}
+        for i, leaves in enumerate(queries["leaves"]):
+            for one in leaves:
+                visits.setdefault(one, []).append(i)
+        who, which = [], []
+        for one, mine in visits.items():
+            lo, hi = np.searchsorted(leaf, [one, one + 1])
+            if lo == hi:
+                continue
+            mine = np.array(mine)
+            rough = q[mine] @ x[lo:hi].T
+            # Equal vectors (k at most) may differ in the last bit here: twice k keeps all that could be among the best.
+            most = min(2 * k, hi - lo)
+            near = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+            who.append(np.repeat(mine, most))
+            which.append(lo + near.ravel())
+        if not who:
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "ids": [], "scores": []})
+        who, which = np.concatenate(who), np.concatenate(which)
+        exact = np.concatenate([(q[who[i : i + 65536]] * x[which[i : i + 65536]]).sum(1) for i in range(0, len(who), 65536)])
+        who, found, exact = _best(who, ids[which], exact, k)
+        cuts = np.flatnonzero(np.diff(who)) + 1
         return pd.DataFrame({
-            "query": np.repeat(queries["id"].to_numpy(), [len(i) for i, _ in found]),
-            "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found]),
+            "query": queries["id"].to_numpy()[who[np.concatenate(([0], cuts))]], "ids": [a.tolist() for a in np.split(found, cuts)], "scores": [a.tolist() for a in np.split(exact, cuts)],
         })
 
     return run
 
 
+def _merge(k: int):
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        ids, scores = np.concatenate(lists["ids"].to_numpy()), np.concatenate(lists["scores"].to_numpy())
+        _, ids, scores = _best(np.zeros(len(ids), np.int64), ids.astype(np.int64), scores.astype(np.float64), k)
+        return pd.DataFrame({"query": lists["query"].iloc[0], "vec_id": ids, "score": scores})
+
+    return run
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, leaf: int = LEAF, search_k: int | None = None,
             recall: float = RECALL, probes: int = PROBES, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best found for every row that ``is_query`` (of ``id`` and ``v``)."""
@@ -261,13 +311,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
     if search_k is None:
         tried = distinct.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(probes).select("id", "v")
         search_k = calibrate(indexed, tried, forest, sizes, length, k, recall)
-    routed = distinct.select("id", "v").mapInArrow(_route(forest, sizes, length, search_k), "leaf long, part long, id long, v array<float>")
-    placed = indexed.mapInArrow(_place(forest, sizes, length), "leaf long, part long, id long, v array<float>")
-    met = routed.groupBy("leaf", "part").cogroup(placed.groupBy("leaf", "part")).applyInPandas(_meet(k + 1), "query long, vec_id long, score double")
-    # A vector is found once in every tree that leads to it; its scores are equal.
-    best = met.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+    routed = distinct.select("id", "v").mapInArrow(_route(forest, sizes, leaf, length, search_k), "group long, part long, leaves array<long>, id long, v array<float>")
+    placed = indexed.mapInArrow(_place(forest, sizes, leaf, length), "group long, part long, leaf long, id long, v array<float>")
+    met = routed.groupBy("group", "part").cogroup(placed.groupBy("group", "part")).applyInPandas(_meet(k + 1), "query long, ids array<long>, scores array<double>")
+    best = met.groupBy("query").applyInPandas(_merge(k + 1), "query long, vec_id long, score double")
     leaders = distinct.select("key", F.col("id").alias("query"))
     asked = asked.select("key", F.col("id").alias("query_id")).distinct()
     out = asked.join(leaders, "key").join(best, "query").where("vec_id <> query_id")
