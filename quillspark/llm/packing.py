@@ -35,7 +35,7 @@ SHORTEST = 64
 #: Words kept with their ids by a Python worker, twice: of two generations.
 CACHE_WORDS = 500_000
 #: White space or case rules that a cut at ASCII white space would not follow: such texts go to the tokenizer whole.
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0Σ ᠎ -‏ -  ⁠　﻿]|<\\|")
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\u00a0\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]|<\\|")
 
 
 class WordIds:
