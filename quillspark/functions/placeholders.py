@@ -63,25 +63,27 @@ def tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(<[^>]+>|[^<]+|<)"), 1)
 
 
-def _groups(html: Column) -> Column:
-    """Runs: array of (protected, text). Adjacent tags and untranslatable texts fuse into one protected run."""
-    def add(acc, t):
+#: Fences of protected and of free runs: code points that no text may contain.
+_OPEN, _CLOSE, _FREE, _END = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+
+
+def _fenced(html: Column) -> Column:
+    """The text with a fence around every run of protected and of free tokens; fences that meet inside a run fall away."""
+    def fence(t):
         kept = F.regexp_like(t, F.lit(r"(?s)^<[^>]+>$")) | is_non_translatable(t)
-        last = F.try_element_at(acc, F.lit(-1))
-        fused = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(kept.alias("p"), F.concat(last["t"], t).alias("t"))))
-        return F.when((F.size(acc) > 0) & (last["p"] == kept), fused).otherwise(F.concat(acc, F.array(F.struct(kept.alias("p"), t.alias("t")))))
-    empty = F.from_json(F.lit("[]"), "array<struct<p:boolean,t:string>>")
-    return F.aggregate(tokens(html), empty, add)
+        return F.when(kept, F.concat(F.lit(_OPEN), t, F.lit(_CLOSE))).otherwise(F.concat(F.lit(_FREE), t, F.lit(_END)))
+    joined = F.array_join(F.transform(tokens(html), fence), "")
+    return F.replace(F.replace(joined, F.lit(_CLOSE + _OPEN), F.lit("")), F.lit(_END + _FREE), F.lit(""))
 
 
 def preserve_tags(html: Column) -> Column:
-    """Struct of the text with numbered placeholders and the protected strings in their order."""
-    runs = _groups(html)
-    kept = F.transform(F.filter(runs, lambda r: r["p"]), lambda r: r["t"])
-    # Runs alternate, so a protected run's number is half its place.
-    first = F.when(F.try_element_at(runs, F.lit(1))["p"], 0).otherwise(1)
-    marked = F.transform(runs, lambda r, i: F.when(r["p"], create(F.floor((i - first) / 2).cast("int"))).otherwise(r["t"]))
-    return F.struct(F.array_join(marked, "").alias("marked"), kept.alias("tags"))
+    """Struct of the text with numbered placeholders and the protected strings in their order. Adjacent tags and what is
+    not translatable between them share a placeholder."""
+    fenced = _fenced(html)
+    run = f"{_OPEN}[^{_CLOSE}]*{_CLOSE}"
+    kept = F.regexp_extract_all(fenced, F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), 1)
+    free = F.transform(F.split(fenced, run, -1), lambda t, i: F.concat(F.when(i == 0, F.lit("")).otherwise(create(i - 1)), F.translate(t, _FREE + _END, "")))
+    return F.struct(F.array_join(free, "").alias("marked"), kept.alias("tags"))
 
 
 def restore_tags(text: Column, tags: Column) -> Column:
