@@ -106,6 +106,32 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_close_pairs_are_all_close_pairs():
+    rng = np.random.default_rng(4)
+    group = np.sort(np.concatenate((rng.integers(0, 40, 150), np.full(90, 50))))
+    centre = rng.integers(0, 256, (3, 64))
+    sketch = np.where(rng.random((len(group), 64)) < 0.75, centre[rng.integers(0, 3, len(group))], rng.integers(0, 256, (len(group), 64))).astype(np.uint8)
+    root = rng.integers(0, 60, len(group))
+    i, j = near_dedup.close_pairs(group, root, sketch, 0.55, lag=8)
+    want = {(a, b) for a in range(len(group)) for b in range(a + 1, len(group)) if group[a] == group[b] and root[a] != root[b] and (sketch[a] == sketch[b]).mean() >= 0.55}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 20
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_groups_that_no_hub_joins(spark, monkeypatch, block):
+    """Chains of texts, and many texts that share a long passage: blocks of any size find the same classes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    passage = prose(rng, 60).split()
+    pairs = [(i, " ".join(passage + prose(rng, rng.randrange(8, 40), 4000).split())) for i in range(60)]
+    chain = prose(rng, 100, 4000).split()
+    for i in range(100, 140):
+        chain = [*chain[5:], *prose(rng, 5, 4000).split()]
+        pairs.append((i, " ".join(chain)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs(spark, pairs)).collect()}
+    assert got == brute_classes(pairs)
+
+
 # -- repeated strings ------------------------------------------------------------------------------------------------
 
 
