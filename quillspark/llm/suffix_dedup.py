@@ -38,7 +38,7 @@ from .common import SpanHasher, flat_bytes, materialize, mix64, slices, table, t
 LENGTH = 100
 GRAM = 32
 #: Bytes of text hashed together, and bytes of segments in one collection.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 COLLECTION = 2 << 20
 _POSITION = np.uint64((1 << 23) - 1)
 LAST = (1 << 63) - 1
@@ -81,7 +81,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 
 def _chunks(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """The buffer, or parts of its single long row that overlap by length - 1 bytes: (bytes, offsets, start in the row)."""
-    if len(data) <= int(_POSITION) // 2:
+    if len(data) <= int(_POSITION):
         yield data, offsets, 0
         return
     assert len(offsets) == 2
