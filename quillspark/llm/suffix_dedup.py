@@ -11,9 +11,9 @@ collections are cut first:
    place, so only segments of the same anchor can share one; all segments of an anchor make one collection.
 2. Segments equal as wholes are one member: all but the earliest go whole. Each task does that to its own text before the
    shuffle, so a passage that a third of all documents share leaves one row a task slice.
-3. An anchor with one distinct segment is done. For the others the bytes are fetched, and members that share neither what
-   follows nor what precedes the anchor with another are done too. The rest are the documents of the collections, whose
-   order and common prefixes are built column-wise, in files read and written in sequence.
+3. An anchor with one distinct segment is done. For the others the bytes are fetched, and each is trimmed to the longest
+   flanks of its anchor that another one has too; those that come out under LENGTH are done. The rest are the documents of
+   the collections, whose order is built column-wise, in files read and written in sequence; common prefixes follow from it.
 4. Removed spans join their documents, and one pass gives the kept bytes' digest.
 
 Defined cases: a null text is empty; a text under LENGTH bytes keeps all; repeated rows (same doc_id and text) count one after
@@ -119,97 +119,105 @@ def _cut(length: int, gram: int):
 
 
 def _same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the strings of ``length`` bytes at a and at b are equal, pair by pair; bytes stay in the buffer."""
-    same = np.ones(len(a), bool)
-    for j in range(0, length, 8):
-        left = np.flatnonzero(same)
-        if not len(left):
-            break
-        for k in range(j, min(j + 8, length)):
-            same[left] &= data[a[left] + k] == data[b[left] + k]
-    return same
+    """Whether the strings of ``length`` bytes (8 at least) at a and at b are equal, pair by pair; bytes stay in the buffer."""
+    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
+    same = np.arange(len(a))
+    for k in [*range(0, length - 7, 8), length - 8]:
+        same = same[words[a[same] + k] == words[b[same] + k]]
+    out = np.zeros(len(a), bool)
+    out[same] = True
+    return out
+
+
+def _by_symbol(symbol: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of every place of a transform, its rank by (symbol, place); and the number of end marks, which come first."""
+    rank = np.empty(len(symbol), np.int64)
+    rank[np.argsort(symbol, kind="stable")] = np.arange(len(symbol))
+    return rank, int(np.count_nonzero(symbol == 0))
 
 
 def collection_order(members: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of at least ``length`` bytes of all members, in order: member, start, and whether a common prefix of
     ``length`` bytes joins each to the one before.
 
-    Round j puts the suffix of j symbols of every member that has them into the order. Where it goes follows from the
-    transform alone: after the suffixes that start with a smaller symbol, and after those of its own symbol as many as that
-    symbol occurs before its parent's place. The transform (each suffix's preceding symbol), the suffixes' members and the
-    marks live in files; a round reads the last round's files in sequence and writes its own.
+    Round j puts the suffix of j symbols of every member that has them into the collection's Burrows-Wheeler transform (each
+    suffix's preceding symbol, in order of the suffixes). Where it goes follows from the transform alone: behind the
+    suffixes that start with a smaller symbol, and behind as many of its own symbol's as occur before its parent's place.
+    The transform is a file that a round reads in sequence while it writes the next one. Walking the finished transform
+    back from the members' ends names its suffixes; one more pass marks the neighbours with a common prefix.
     """
     count = len(members)
     sizes = np.array([len(m) for m in members])
     data = np.frombuffer(b"".join(members), np.uint8)
     ends = np.cumsum(sizes)
     begin = ends - sizes
+    used = np.unique(data)
+    code = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)
+    code[used] = np.arange(1, len(used) + 1)  # 0: nothing precedes
+    symbols = code[data]
     with tempfile.TemporaryDirectory() as folder:
-        names = lambda r: [os.path.join(folder, f"{k}{r & 1}") for k in ("symbol", "member", "size", "mark")]
-        kinds = (np.int16, np.int32, np.int32, np.bool_)
-
-        def write(r: int, columns) -> None:
-            for name, kind, column in zip(names(r), kinds, columns):
-                column.astype(kind, copy=False).tofile(name)
-
-        def read(r: int):
-            return [np.fromfile(name, kind) for name, kind in zip(names(r), kinds)]
-
-        # Round 0: the empty suffixes, in order of the members; a member's last symbol precedes its empty suffix.
-        live = np.arange(count)
-        place = np.arange(count)
-        write(0, (data[ends - 1].astype(np.int16), live, np.zeros(count), np.zeros(count, bool)))
+        names = [os.path.join(folder, f"transform{k}") for k in (0, 1)]
+        live = place = np.arange(count)
+        symbols[ends - 1].tofile(names[0])
         for r in range(1, int(sizes.max()) + 1):
-            symbol, member, size, mark = read(r - 1)
-            # Symbol order over the transform: sorted by symbol, ties by place. Exhausted members' ends (-1) come first.
-            by_symbol = np.argsort(symbol.astype(np.int16), kind="stable")
-            rank = np.empty(len(symbol), np.int64)
-            rank[by_symbol] = np.arange(len(symbol))
-            done = int((symbol < 0).sum())
+            old = np.fromfile(names[(r - 1) & 1], code.dtype)
+            rank, done = _by_symbol(old)
             keep = sizes[live] >= r
             live, place = live[keep], place[keep]
             goes = count + rank[place] - done
             order = np.argsort(goes)
-            live, goes = live[order], goes[order]
-            total = len(symbol) + len(live)
-            fresh = np.zeros(total, bool)
-            fresh[goes] = True
-            columns = []
+            live, place = live[order], goes[order]
+            fresh = np.zeros(len(old) + len(live), bool)
+            fresh[place] = True
+            new = np.empty(len(fresh), code.dtype)
+            new[~fresh] = old
             left = sizes[live] - r - 1
-            before = np.where(left >= 0, data[np.maximum(begin[live] + left, 0)].astype(np.int16), np.int16(-1))
-            for old, new in ((symbol, before), (member, live), (size, np.full(len(live), r)), (mark, np.zeros(len(live), bool))):
-                column = np.empty(total, old.dtype)
-                column[fresh] = new
-                column[~fresh] = old
-                columns.append(column)
-            if r >= length:
-                _, member, size, mark = columns
-                near = np.unique(np.concatenate((goes, goes + 1)))
-                near = near[(near > 0) & (near < total)]
-                long_ = (size[near] >= length) & (size[near - 1] >= length)
-                mark[near[~long_]] = False
-                near = near[long_]
-                mark[near] = _same_prefix(data, ends[member[near]] - size[near], ends[member[near - 1]] - size[near - 1], length)
-            write(r, columns)
-            place = goes
-        _, member, size, mark = read(r)
-    long_ = size >= length
-    return member[long_], (sizes[member] - size)[long_], mark[long_]
-
-
-def _flanks(members: list[bytes], place: np.ndarray, group: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Members of a group that share with another what a common string must have: (length - gram) / 2 bytes before the
-    anchor, or as many after it."""
-    half = (length - gram) // 2
-    keep = np.zeros(len(members), bool)
-    after = [hash((g, m[p : p + gram + half])) if len(m) >= p + gram + half else None for g, m, p in zip(group, members, place)]
-    before = [hash((g, m[p - half : p + gram])) if p >= half else None for g, m, p in zip(group, members, place)]
-    for side in (after, before):
-        counts: dict = {}
-        for h in side:
-            counts[h] = counts.get(h, 0) + 1
-        keep |= np.array([h is not None and counts[h] > 1 for h in side], bool)
-    return keep
+            new[place] = np.where(left >= 0, symbols[np.maximum(begin[live] + left, 0)], 0)
+            new.tofile(names[r & 1])
+    rank, done = _by_symbol(new)
+    member, size = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32)
+    live = place = np.arange(count)  # the empty suffixes come first, by member
+    member[:count] = live
+    for r in range(1, int(sizes.max()) + 1):
+        keep = sizes[live] >= r
+        live, place = live[keep], count + rank[place[keep]] - done
+        member[place], size[place] = live, r
+    long_ = np.flatnonzero(size >= length)
+    member, size = member[long_], size[long_]
+    start = sizes[member] - size
+    joined = np.zeros(len(long_), bool)
+    near = np.flatnonzero(np.diff(long_) == 1) + 1
+    at = begin[member] + start
+    joined[near] = _same_prefix(data, at[near], at[near - 1], length)
+    return member, start, joined
+
+
+def _extent(group: np.ndarray, flank: list[bytes], width: int) -> np.ndarray:
+    """Of every member, a bound of the longest prefix of its flank that another member of its group shares."""
+    wide = -(-width // 8) * 8
+    table_ = np.frombuffer(b"".join(f.ljust(wide, b"\0") for f in flank), np.uint8).reshape(len(flank), wide)
+    words = table_.view(">u8")
+    order = np.lexsort((*(words[:, k] for k in reversed(range(words.shape[1]))), group))
+    sorted_, own = table_[order], group[order]
+    differ = sorted_[1:] != sorted_[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), wide)
+    common[own[1:] != own[:-1]] = -1
+    best = np.full(len(flank), -1)
+    best[1:] = common
+    best[:-1] = np.maximum(best[:-1], common)
+    out = np.empty(len(flank), np.int64)
+    out[order] = best  # the longest of all is that of a neighbour in order
+    return np.minimum(out, [len(f) for f in flank])
+
+
+def trimmed(group: np.ndarray, members: list[bytes], place: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members that can share ``length`` bytes with another of their group, and the part of each (start, end) that can:
+    the anchor with the longest flanks on either side that any other member has too."""
+    width = length - gram
+    after = _extent(group, [m[p + gram : p + gram + width] for m, p in zip(members, place)], width)
+    before = _extent(group, [m[max(0, p - width) : p][::-1] for m, p in zip(members, place)], width)
+    index = np.flatnonzero((after >= 0) & (before + gram + after >= length))
+    return index, place[index] - before[index], place[index] + gram + after[index]
 
 
 _SPAN = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("bytes", pa.int32())])
@@ -218,10 +226,11 @@ _SPAN_DDL = "doc long, tie long, start int, bytes int"
 
 def repeated_spans(group, doc, tie, start, place, members, length: int = LENGTH, gram: int = GRAM):
     """Spans (index of the member, start in it, bytes) that go, of members which belong to anchors ``group``."""
-    index = np.flatnonzero(_flanks(members, place, group, length, gram))
+    index, low, high = trimmed(np.asarray(group), members, np.asarray(place), length, gram)
     if not len(index):
         return []
-    member, at, joined = collection_order([members[i] for i in index], length)
+    member, at, joined = collection_order([members[i][a:b] for i, a, b in zip(index, low, high)], length)
+    at = at + low[member]
     member = index[member]
     # Runs of suffixes joined by common prefixes are the occurrences of one string; its earliest one stays.
     run = np.cumsum(~joined)
