@@ -81,7 +81,7 @@ add("d7_save_checkpoint", lambda s, d: checkpoint(s, d)[0].select("translation_i
 add("d8_resume_index", lambda s, d: jobs(s, d).select("translation_id", j.resume_index(F.col("file_type"), (F.col("translation_id") % 9 - 1).cast("int")).alias("resume_index")),
     "SELECT translation_id, CAST(CASE WHEN file_type = 'epub' THEN greatest(0, translation_id % 9 - 1) ELSE translation_id % 9 END AS INT) AS resume_index FROM v_jobs")
 add("d10_cache_upsert", lambda s, d: j.upsert(view(s, d, "v_results").select(F.concat("model", F.lit("@"), "target_language").alias("cache_key"), "ord", (F.length("translated_text") % 3).alias("behaviour")), ["cache_key"], ["ord"]),
-    "SELECT model || '@' || target_language AS cache_key, max(ord) AS ord, arg_max(length(translated_text) % 3, ord) AS behaviour FROM v_results GROUP BY 1")
+    "SELECT model || '@' || target_language AS cache_key, max(ord) AS ord, CAST(arg_max(length(translated_text) % 3, ord) AS INT) AS behaviour FROM v_results GROUP BY 1")
 add("d11_run_lifecycle", lambda s, d: view(s, d, "v_results").groupBy(F.col("source_text_id").alias("run_id")).agg(
         F.min("ord").alias("started"), F.max("ord").alias("ended"), F.when(F.max("error").isNotNull(), "failed").otherwise("completed").alias("status")),
     "SELECT source_text_id AS run_id, min(ord) AS started, max(ord) AS ended, CASE WHEN max(error) IS NOT NULL THEN 'failed' ELSE 'completed' END AS status FROM v_results GROUP BY 1")
