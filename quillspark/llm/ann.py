@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 TREES = 10
 LEAF = 256
@@ -119,7 +119,7 @@ def _scan(queries: np.ndarray, k: int, length: int):
                         [pa.array(np.full(len(best), q)), batch.column("id").take(rows), batch.column("v").take(rows), pa.array(scores)],
                         names=["probe", "id", "v", "score"])
 
-    return run
+    return tidy(run)
 
 
 def calibrate(indexed: DataFrame, probes: DataFrame, forest: Forest, sizes: np.ndarray, length: int, k: int, recall: float) -> int:
@@ -162,7 +162,7 @@ def _count_leaves(forest: Forest, length: int):
                 total += np.bincount(forest.leaves(forest.lift(_matrix(batch.column("v"), length), forest.bound)).ravel(), minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["leaf", "n"])
 
-    return run
+    return tidy(run)
 
 
 def _groups(sizes: np.ndarray, depth: int, leaf: int) -> tuple[int, np.ndarray]:
@@ -188,7 +188,7 @@ def _place(forest: Forest, sizes: np.ndarray, leaf_size: int, length: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(group[:, t]), pa.array(part[:, t]), pa.array(leaf[:, t]), batch.column("id"), batch.column("v")], names=["group", "part", "leaf", "id", "v"])
 
-    return run
+    return tidy(run)
 
 
 def _route(forest: Forest, sizes: np.ndarray, leaf_size: int, length: int, search_k: int):
@@ -206,7 +206,7 @@ def _route(forest: Forest, sizes: np.ndarray, leaf_size: int, length: int, searc
                     [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())),
                      one.column("id").take(again), one.column("v").take(again)], names=["group", "part", "leaves", "id", "v"])
 
-    return run
+    return tidy(run)
 
 
 def rerank(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

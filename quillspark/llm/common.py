@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -54,7 +57,7 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]] if len(offs) else raw, offs - (offs[0] if len(offs) else 0)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text; a longer text is a run of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
@@ -67,6 +70,21 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         yield batch.slice(start)
 
 
+def tidy(run):
+    """A function over Arrow batches that, once done, gives its freed memory back: Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 # -- hashing of words, vectorised over a buffer ---------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

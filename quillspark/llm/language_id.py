@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, flat_bytes, materialize, slices, table
+from .common import _LOWER, flat_bytes, materialize, slices, table, tidy
 
 BITS = 15
 TRAIN_ROWS = 20_000
@@ -78,7 +78,7 @@ def _count(languages: list[str]):
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
-    return run
+    return tidy(run)
 
 
 class Model:
@@ -131,7 +131,7 @@ def _likelihood(model: Model):
                     [*(part.column(c) for c in names), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(np.arange(0, total.size + 1, dims, dtype=np.int32), total.ravel())],
                     names=[*names, "n", "ll"])
 
-    return run
+    return tidy(run)
 
 
 def visible_text(html: Column) -> Column:

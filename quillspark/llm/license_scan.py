@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, flat_bytes, slices, table, words
+from .common import SpanHasher, flat_bytes, slices, table, tidy, words
 
 #: Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -86,7 +86,7 @@ def _frequencies(tokens: Tokens):
                     total += np.bincount(found[found >= 0], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def contained(block: np.ndarray, token: np.ndarray, size: np.ndarray, template: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def _scan(tokens: Tokens, templates: list[tuple[str, list[int]]], phrases: list[
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, OUT.types)], schema=OUT)
 
-    return run
+    return tidy(run)
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:

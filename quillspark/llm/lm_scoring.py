@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, materialize, table
+from .common import SpanHasher, materialize, table, tidy
 
 #: Documents of one block: the most that one task holds together with their words' counts.
 BLOCK_DOCS = 8192
@@ -165,6 +165,7 @@ class Lattices:
         return np.bincount(piece, share * counts[word], len(self.pieces))
 
 
+@tidy
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word, occurrences in training documents): sums of what a task has read, handed on when there are many."""
     schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
@@ -204,7 +205,7 @@ def _expect(lattices: Lattices):
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def _word_scores(lattices: Lattices, end: float):
@@ -222,7 +223,7 @@ def _word_scores(lattices: Lattices, end: float):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("word"), batch.column("c"), pa.array(lp[[place[w] for w in words]] if words else lp)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_counts, materialize, mix64, shingle_hashes, slices, table, text_or_empty
+from .common import distinct_counts, materialize, mix64, shingle_hashes, slices, table, text_or_empty, tidy
 from .components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -93,7 +93,7 @@ def _signatures(bands: int, rows: int, shingle: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def close_pairs(group: np.ndarray, root: np.ndarray, sketch: np.ndarray, least: float, lag: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def _screen(least: float, bands: int, rows_: int):
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    return run
+    return tidy(run)
 
 
 def jaccard(a: pa.Array, b: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -205,7 +205,7 @@ def _similar(threshold: float, shingle: int):
                     linked = pa.array(jaccard(one.column("ta"), one.column("tb"), shingle) >= threshold)
                     yield pa.RecordBatch.from_arrays([one.column("a").filter(linked), one.column("b").filter(linked)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:

@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, slices, table, tidy
 
 CAPACITY = 2048
 END_ID = 1
 #: Remainders are not cut below this many ids.
 SHORTEST = 64
 #: Words kept with their ids by a Python worker, twice: of two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 #: White space or case rules that a cut at ASCII white space would not follow: such texts go to the tokenizer whole.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\u00a0\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]|<\\|")
 
@@ -139,7 +139,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PIECE.types)], schema=PIECE)
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
