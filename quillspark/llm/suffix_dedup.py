@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, flat_bytes, materialize, mix64, slices, table, text_or_empty
+from .common import SpanHasher, flat_bytes, materialize, mix64, slices, table, text_or_empty, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -91,13 +91,25 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         yield part, np.array([0, len(part)]), a
 
 
-#: gone: the segment is known to go; else it may be its text's first. ``tie`` orders different texts of one doc_id.
-_SEGMENT = pa.schema([("gone", pa.bool_()), ("anchor", pa.int64()), ("seg", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()),
-                      ("start", pa.int32()), ("bytes", pa.int32()), ("place", pa.int32())])
-_SEGMENT_DDL = "gone boolean, anchor long, seg long, doc long, tie long, start int, bytes int, place int"
+#: A row is as narrow as can be, for there are many: anchor, seg (hash of the whole segment), doc, and ``at``: start in the
+#: text, bytes, place of the anchor, 0. A span that the task knows to go is such a row too: a hash that no other row has, its
+#: bytes, doc, and ``at``: start, 1. ``tie`` orders different texts of one doc_id.
+_SEGMENT = [("anchor", pa.int64()), ("seg", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())]
+_START, _BYTES, _PLACE = "shiftright(at, 20)", "CAST(shiftright(at, 10) & 1023 AS INT)", "CAST(shiftright(at, 1) & 511 AS INT)"
 
 
-def _cut(length: int, gram: int):
+def _merged(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that meet or overlap in a row as one: row, start, bytes. Of two spans of a row, the later ends later."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], (start + n)[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], start[first], end[last] - start[first] if len(row) else n
+
+
+def _cut(length: int, gram: int, many: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", CHUNK):
@@ -109,13 +121,20 @@ def _cut(length: int, gram: int):
                     start = start + shift
                     order = np.lexsort((start, tie[row], doc[row], whole, anchor))
                     row, start, n, place, anchor, whole = (x[order] for x in (row, start, n, place, anchor, whole))
-                    gone = np.zeros(len(row), bool)
-                    gone[1:] = (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(gone), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc[row]), pa.array(tie[row]),
-                         pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], schema=_SEGMENT)
-
-    return run
+                    same = np.zeros(len(row), bool)
+                    same[1:] = (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
+                    again = same.copy()  # a repeated row's same place
+                    again[1:] &= (doc[row[1:]] == doc[row[:-1]]) & (tie[row[1:]] == tie[row[:-1]]) & (start[1:] == start[:-1])
+                    own, gone = ~same, same & ~again
+                    who, lo, n_gone = _merged(row[gone], start[gone], n[gone])
+                    spread = mix64(doc[who].view(np.uint64) ^ mix64(lo.astype(np.uint64)))  # meets no other row
+                    columns = [
+                        np.concatenate((anchor[own], spread)).view(np.int64), np.concatenate((whole[own].view(np.int64), n_gone)),
+                        np.concatenate((doc[row[own]], doc[who])), np.concatenate(((start[own] << 20) | (n[own] << 10) | (place[own] << 1), (lo << 20) | 1)),
+                    ] + [np.concatenate((tie[row[own]], tie[who]))] * many
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c for c, _ in _SEGMENT] + ["tie"] * many)
+
+    return tidy(run)
 
 
 def _same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -274,9 +293,10 @@ def _collections(length: int, gram: int):
         if rows:
             yield spans(rows)
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("place", pa.int32()), ("data", pa.binary())])
     for batch in batches:
@@ -317,7 +337,7 @@ def _kept(length: int, with_text: bool = False):
                         out += [(doc, len(raw), len(raw) if whole else 0, int(whole), hashlib.sha256(kept).hexdigest(), kept)] * (copies - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(schema.types)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -327,24 +347,27 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
     many = read.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count() > 0
     tie = F.xxhash64("text") if many else F.lit(0).cast("long")
     read = read.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("tie", tie)
-    cut = read.select("doc", "tie", "text").mapInArrow(_cut(length, gram), _SEGMENT_DDL)
+    cut = read.select("doc", "tie", "text").mapInArrow(_cut(length, gram, many), "anchor long, seg long, doc long, at long" + ", tie long" * many)
     by_anchor = Window.partitionBy("anchor")
-    sorted_ = by_anchor.orderBy("seg", "doc", "tie", "start")
+    # ``at`` begins with the start, so it orders the places of a text.
+    place = ["doc", "tie", F.expr(_START)] if many else ["doc", F.expr(_START)]
     marked = cut.select(
-        "*", F.lag("seg").over(sorted_).alias("prior"),
+        "*", F.lag("seg").over(by_anchor.orderBy("seg", *place)).alias("prior"),
         (F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor)).alias("several"),
     )
     opens = F.coalesce(F.col("prior") != F.col("seg"), F.lit(True))
-    goes = ~opens
+    known, goes = F.expr("(at & 1) = 1"), ~opens
     if many:
         # A row that is the same place again (a repeated row's segment) is no other place: it is left to ``copies``.
-        place = F.struct("doc", "tie", "start")
-        marked = marked.withColumn("earliest", F.first(place).over(Window.partitionBy("anchor", "seg").orderBy("doc", "tie", "start")))
-        goes = goes & (F.col("earliest") != place)
-    state = F.when(goes, "gone").when(opens & F.col("several"), "apart")
-    marked = materialize(
-        marked.withColumn("state", state).where("state IS NOT NULL").select("state", "anchor", "doc", "tie", "start", "bytes", "place"), "segments")
-    wanted = marked.where("state = 'apart'").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "start", "bytes", "place")).alias("wanted"))
+        own = F.struct("doc", "tie", F.expr(_START))
+        marked = marked.withColumn("earliest", F.first(own).over(Window.partitionBy("anchor", "seg").orderBy(*place)))
+        goes = goes & (F.col("earliest") != own)
+    marked = marked.withColumn("gone", known | goes).where(F.col("gone") | (opens & F.col("several")))
+    marked = marked.select("gone", F.when(~F.col("gone"), F.col("anchor")).alias("anchor"), F.when(known, F.col("seg")).alias("span"), "doc", *["tie"] * many, "at")
+    marked = materialize(marked, "segments")
+    marked = marked.select("gone", "anchor", "doc", F.col("tie") if many else F.lit(0).cast("long").alias("tie"),
+                           F.expr(f"CAST({_START} AS INT)").alias("start"), F.coalesce(F.col("span").cast("int"), F.expr(_BYTES)).alias("bytes"), F.expr(_PLACE).alias("place"))
+    wanted = marked.where("NOT gone").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "start", "bytes", "place")).alias("wanted"))
     one = read.select("doc", "tie", "text")
     if many:
         one = one.dropDuplicates(["doc", "tie"])
@@ -352,7 +375,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
         _fetch, "anchor long, doc long, tie long, start int, place int, data binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_collections(length, gram), _SPAN_DDL)
-    spans = marked.where("state = 'gone'").select("doc", "tie", "start", "bytes").unionByName(found)
+    spans = marked.where("gone").select("doc", "tie", "start", "bytes").unionByName(found)
     by_doc = spans.groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("bytes").alias("sizes"))
     texts = read.withColumn("copies", F.lit(1).cast("long"))
     if many:
