@@ -1,9 +1,10 @@
 """MinHash near-deduplication with ProbMinHash (operator 1).
 
-Signatures: a text's five-word shingles d have weights w(d) = 1 + log2(count). Each shingle is a Poisson process of rate
-w(d) whose points fall on random registers; a register keeps the shingle of its earliest point, so two texts agree in a
-register with the probability Jaccard similarity of their weights. Points come in order of time, and a shingle is given up
-once its next point is later than the latest register of its text: most shingles of a long text make one point only.
+Signatures: a text's distinct five-word shingles all weigh the same, for links are decided by the sets alone: weights by count
+would part texts that repeat lines. Each shingle is a Poisson process of rate 1 whose points fall on random registers; a
+register keeps the shingle of its earliest point, so two texts agree in a register with the Jaccard similarity of their sets
+(``probminhash`` itself takes any weights). Points come in order of time, and a shingle is given up once its next point is
+later than the latest register of its text: most shingles of a long text make one point only.
 
 Bands of registers make buckets. In every bucket each text is compared with the bucket's hub, the member that shares the
 most buckets with others, so a group of n near copies costs n comparisons and not n^2. Texts of a bucket that are still in
@@ -70,8 +71,8 @@ def probminhash(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int,
 
 def sketches(texts: pa.Array, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, registers: int = REGISTERS):
     """Band keys (null for a text without words) and a byte of each register."""
-    row, key, count = distinct_counts(*shingle_hashes(texts, shingle))
-    signature = probminhash(row, key, 1.0 + np.log2(count), len(texts), max(registers, bands * rows))
+    row, key, _ = distinct_counts(*shingle_hashes(texts, shingle))
+    signature = probminhash(row, key, np.ones(len(key)), len(texts), max(registers, bands * rows))
     sketch = (signature >> np.uint64(56)).astype(np.uint8)
     out = np.zeros((len(texts), bands), np.uint64)
     for j in range(rows):  # from the bytes alone, so that sketches tell which bands two texts share

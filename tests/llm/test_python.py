@@ -132,6 +132,20 @@ def test_groups_that_no_hub_joins(spark, monkeypatch, block):
     assert got == brute_classes(pairs)
 
 
+def test_repeated_lines_do_not_part_near_copies(spark):
+    """Each text repeats a line of its own 32 times: plain Jaccard is over 0.8, that of weights by count under 0.5."""
+    rng = random.Random(21)
+    pairs = []
+    for g in range(40):
+        shared = [f"s{g}w{i}" for i in range(124)]
+        for c in range(2 if g % 2 else 5):
+            line = ["line%d" % rng.randrange(10**9) for _ in range(9)]
+            pairs.append((10 * g + c, " ".join(shared) + "\n" + "\n".join([" ".join(line)] * 32)))
+    want = brute_classes(pairs)
+    assert len(set(want.values())) == 40
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs(spark, pairs)).collect()} == want
+
+
 # -- repeated strings ------------------------------------------------------------------------------------------------
 
 
