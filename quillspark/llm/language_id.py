@@ -3,7 +3,7 @@
 log P(language | item) = text + declared language + host prior, up to a constant:
 
 * text: a naive-Bayes model over hashed byte trigrams of lower-cased letters, fitted on a bounded sample of labelled texts
-  (``train_rows``). Trigrams overlap, so n of them weigh as much as 4 sqrt(n) independent ones.
+  (``train_rows`` in all, but ``LEAST_ROWS`` of each language that has as many). Every labelled language is known. Trigrams overlap, so n of them weigh as much as 4 sqrt(n) independent ones.
 * declared: the markup's lang attribute; right with probability ``TRUST``, else any other language.
 * host: shares of languages on a host, smoothed towards its domain's, that towards its address suffix's (with the
   languages that country suffixes stand for), that towards all items'. Shares are sums of the posteriors by text and
@@ -31,7 +31,8 @@ from .common import _LOWER, flat_bytes, materialize, slices, table, tidy
 
 BITS = 15
 TRAIN_ROWS = 20_000
-LANGUAGES = 32
+#: Of a language that the sample would give fewer rows, about so many are taken.
+LEAST_ROWS = 625
 TRUST = 0.9
 THRESHOLD = 0.5
 SMOOTHING = 20.0
@@ -68,45 +69,63 @@ def _count(languages: list[str]):
     place = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) << BITS, np.int64)
+        cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 row, bucket, _ = trigrams(part.column("text"))
                 lang = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
                 if len(row):
-                    total += np.bincount((lang[row] << BITS) + bucket, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+                    found, n = np.unique((lang[row] << BITS) + bucket, return_counts=True)
+                    cells, at = np.unique(np.concatenate((cells, found)), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
 
     return tidy(run)
 
 
 class Model:
-    """Languages, their log priors, and log P(bucket | language) as a table of 2^BITS rows; the last language is ``und``."""
+    """Languages, their log priors, and log P(bucket | language): of each language the value of buckets without a count, and
+    those of the others; the last language is ``und``."""
 
-    def __init__(self, languages: list[str], prior: list[float], logp: np.ndarray):
-        self.languages, self.prior, self.logp = languages, prior, logp
+    def __init__(self, languages: list[str], prior: list[float], rest: list[float], seen: list[tuple[np.ndarray, np.ndarray]]):
+        self.languages, self.prior, self.rest, self.seen = languages, prior, rest, seen
+
+    def column(self, d: int) -> np.ndarray:
+        """All buckets of language ``d``."""
+        out = np.full(1 << BITS, self.rest[d], np.float32)
+        bucket, value = self.seen[d]
+        out[bucket] = value
+        return out
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """``labelled``: text, lang and a key to sample by. Of languages, the LANGUAGES most frequent are known."""
+    """``labelled``: text, lang and a key to sample by."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     languages = sorted(sizes)
     total = sum(sizes.values())
+    none = (np.zeros(0, np.int16), np.zeros(0, np.float32))
     if not languages:
-        return Model([UND], [0.0], np.full((1 << BITS, 1), -BITS * math.log(2), np.float32))
+        return Model([UND], [0.0], [-BITS * math.log(2)], [none])
     share = min(1.0, train_rows / total)
-    sample = labelled.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))))
-    cells = sample.select("text", "lang").mapInArrow(_count(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.full(len(languages) << BITS, 0.5)
-    for r in cells.collect():  # at most LANGUAGES * 2^BITS rows
-        counts[r["cell"]] += r["n"]
-    counts = counts.reshape(len(languages), -1)
-    logp = np.log(counts / counts.sum(1, keepdims=True))
-    logp = np.vstack((logp, np.full(1 << BITS, -BITS * math.log(2)))).T
+    rare = {x: min(1.0, LEAST_ROWS / n) for x, n in sizes.items() if share * n < min(n, LEAST_ROWS)}
+    cut = F.lit(int(share * (1 << 20)))
+    if rare:
+        own = F.map_from_arrays(F.lit(list(rare)), F.lit([int(x * (1 << 20)) for x in rare.values()]))
+        cut = F.coalesce(F.element_at(own, F.col("lang")), cut)
+    sample = labelled.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < cut)
+    cells = sample.select("text", "lang").mapInArrow(_count(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = cells.column("cell").to_numpy(), cells.column("n").to_numpy()  # cells with a count only
+    order = np.argsort(cell)
+    cell, n = cell[order], n[order]
+    bounds = np.searchsorted(cell, np.arange(len(languages) + 1) << BITS)
+    rest, seen = [], []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        mass = n[lo:hi].sum() + 0.5 * (1 << BITS)
+        rest.append(math.log(0.5 / mass))
+        seen.append(((cell[lo:hi] & ((1 << BITS) - 1)).astype(np.int16), np.log((n[lo:hi] + 0.5) / mass).astype(np.float32)))
     prior = [math.log(0.999 * sizes[x] / total) for x in languages] + [math.log(0.001)]
-    return Model([*languages, UND], prior, np.ascontiguousarray(logp, np.float32))
+    return Model([*languages, UND], prior, [*rest, -BITS * math.log(2)], [*seen, none])
 
 
 _EVIDENCE = "kind string, id long, host string, domain string, suffix string, declared string, n long, ll array<double>"
@@ -124,7 +143,7 @@ def _likelihood(model: Model):
                 if len(row):
                     at = np.searchsorted(row, some)
                     for d in range(dims):
-                        total[some, d] = np.add.reduceat(model.logp[bucket, d].astype(np.float64), at)
+                        total[some, d] = np.add.reduceat(model.column(d)[bucket].astype(np.float64), at)
                 total *= (np.minimum(n, 4 * np.sqrt(n)) / np.maximum(n, 1))[:, None]
                 names = ["kind", "id", "host", "domain", "suffix", "declared"]
                 yield pa.RecordBatch.from_arrays(
@@ -168,12 +187,12 @@ def _softmax(logits: Column) -> Column:
 def identify(items: DataFrame, model: Model, trust: float = TRUST, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> DataFrame:
     """kind, id, host, n (trigrams), language, confidence, accepted of every item (columns of ``of_pages``)."""
     dims = len(model.languages)
-    declared = [
-        F.when(F.col("declared").isin(model.languages[:-1]), F.when(F.col("declared") == x, math.log(trust)).otherwise(math.log((1 - trust) / max(1, dims - 1)))).otherwise(0.0)
-        for x in model.languages
-    ]
+    names_of = F.lit(model.languages)
+    right, wrong = math.log(trust), math.log((1 - trust) / max(1, dims - 1))
+    known = (F.col("declared") != UND) & F.array_contains(names_of, F.col("declared"))
+    declared = F.transform(names_of, lambda x: F.when(known, F.when(F.col("declared") == x, right).otherwise(wrong)).otherwise(0.0))
     seen = materialize(items.mapInArrow(_likelihood(model), _EVIDENCE), "evidence")
-    seen = seen.withColumn("own", F.zip_with("ll", F.array(*declared), lambda a, b: a + b))
+    seen = seen.withColumn("own", F.zip_with("ll", declared, lambda a, b: a + b))
     prior = F.lit(model.prior)
     seen = seen.withColumn("p", F.when(F.col("n") > 0, _softmax(F.zip_with("own", prior, lambda a, b: a + b))))
     names = [f"s{d}" for d in range(dims)]
@@ -191,7 +210,7 @@ def identify(items: DataFrame, model: Model, trust: float = TRUST, threshold: fl
     everywhere = [x or 0.0 for x in hosts.agg(*[F.sum(x) for x in names]).first()]  # one number a language
     whole = F.lit([(x + smoothing / dims) / (sum(everywhere) + smoothing) for x in everywhere])
     country = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
-    speaks = F.array(*[F.when(country[F.col("suffix")] == x, smoothing).otherwise(0.0) for x in model.languages])
+    speaks = F.transform(names_of, lambda x: F.when(country[F.col("suffix")] == x, smoothing).otherwise(0.0))
     suffixes = rolled(hosts, "suffix").select("suffix", smoothed(F.zip_with(array, speaks, lambda a, b: a + F.coalesce(b, F.lit(0.0))), whole).alias("p1"))
     domains = rolled(hosts, "domain", "suffix").join(suffixes, "suffix").select("domain", "suffix", smoothed(array, F.col("p1")).alias("p2"))
     places = hosts.join(domains, ["domain", "suffix"]).select("host", "domain", "suffix", array.alias("on_host"), "p2")
@@ -200,7 +219,7 @@ def identify(items: DataFrame, model: Model, trust: float = TRUST, threshold: fl
     final = _softmax(F.zip_with("own", smoothed(others, F.col("p2")), lambda a, b: a + F.log(b)))
     fused = fused.withColumn("q", F.when(F.col("n") > 0, final))
     best = F.array_max(F.transform("q", lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))
-    out = fused.withColumn("language", F.when(F.col("q").isNotNull(), F.element_at(F.lit(model.languages), 1 - best["i"]))).withColumn("confidence", best["x"])
+    out = fused.withColumn("language", F.when(F.col("q").isNotNull(), F.element_at(names_of, 1 - best["i"]))).withColumn("confidence", best["x"])
     accepted = F.coalesce((F.col("language") != UND) & (F.col("confidence") >= threshold), F.lit(False))
     return out.select("kind", "id", "host", "n", "declared", "language", "confidence", accepted.alias("accepted"))
 

@@ -408,3 +408,16 @@ def test_language_accuracy_and_filter(spark):
     none = language_id.train(spark.createDataFrame([], "key long, lang string, text string"))
     assert not any(r.accepted for r in language_id.identify(language_id.of_documents(test), none).collect())
     assert language_id.identify(language_id.of_documents(test.limit(0)), none).count() == 0
+
+
+def test_every_labelled_language_is_known(spark):
+    """40 languages of their own words: the rarest are told as well as the others."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(400)]
+    say = lambda g: " ".join(rng.choice(vocabulary[10 * g : 10 * g + 10]) for _ in range(30))
+    rows = [(100 * g + i, f"l{g:02d}", say(g)) for g in range(40) for i in range(8 if g < 32 else 4)]
+    model = language_id.train(spark.createDataFrame(rows, "key long, lang string, text string"), train_rows=200)
+    assert model.languages == [*(f"l{g:02d}" for g in range(40)), "und"]
+    documents = spark.createDataFrame([(g, f"s{g}", say(g)) for g in range(40)], "doc_id long, source string, text string")
+    got = language_id.identify(language_id.of_documents(documents), model).collect()
+    assert {r.id: (r.language, r.accepted) for r in got} == {g: (f"l{g:02d}", True) for g in range(40)}
