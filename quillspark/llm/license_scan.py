@@ -1,9 +1,11 @@
 """License scans by exact set-similarity join (operator 7).
 
-Every line of every document is a block. A template's tokens are ordered by their frequency in all documents, rarest first.
-A block can hold ``threshold`` of a template's n tokens only if it holds one of the template's first n - ceil(threshold n) + 1
-(prefix filter), has as many words (length filter), and, counted from the place of the rarest token it holds, enough tokens
-are left (positional filter). What passes is compared token by token, so every block that meets the threshold is found.
+A block is any run of as many words of a document as a template has, over line ends too (``wrapped``). A template's tokens are ordered by
+their frequency in all documents, rarest first. A block can hold ``threshold`` of a template's n distinct tokens only if it
+holds one of the template's first n - ceil(threshold n) + 1 (prefix filter; counted from the rarest token a block holds enough
+are left, so it is the positional filter too), and if its document has as many words (length filter). What passes is counted
+exactly: a word counts in the blocks that hold it and no earlier word of the same token, so every block that meets the
+threshold is found.
 Templates are a short fixed list, so they go to every task; corpus frequencies are summed for their tokens only.
 
 The base labels need no similarity: a phrase counts where its words stand consecutively, over line ends too.
@@ -89,28 +91,32 @@ def _frequencies(tokens: Tokens):
     return tidy(run)
 
 
-def contained(block: np.ndarray, token: np.ndarray, size: np.ndarray, template: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks and their containment of the template, for those at the threshold. ``block``, ``token``: distinct pairs, sorted
-    by block; ``size``: words of each block; ``template``: token numbers, rarest first."""
+def windows(place: np.ndarray, token: np.ndarray, size: int, template: list[int], threshold: float):
+    """Runs of ``size`` words that hold ``threshold`` of the template: the first and last of the template's words in them (as
+    indices into ``place``) and their containment. ``place``: ascending places of words, texts being further apart than any
+    template is long; ``token``: their numbers; ``template``: token numbers, rarest first."""
     need = math.ceil(threshold * len(template) - 1e-9)
-    prefix = template[: len(template) - need + 1]
-    begins = np.unique(block[np.isin(token, prefix)])
-    begins = begins[size[begins] >= need]
-    mine = np.isin(block, begins)
-    block, token = block[mine], token[mine]
-    place = np.full(max(template) + 1, -1)
-    place[template] = np.arange(len(template))
-    inside = token < len(place)
-    inside[inside] = place[token[inside]] >= 0
-    block, token = block[inside], token[inside]
-    if not len(block):
-        return block, np.zeros(0)
-    at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    rarest = np.minimum.reduceat(place[token], at)
-    possible = len(template) - rarest >= need
-    overlap = np.diff(np.append(at, len(block)))
-    good = possible & (overlap >= need)
-    return block[at][good], overlap[good] / len(template)
+    rare = place[np.isin(token, template[: len(template) - need + 1])]
+    none = np.zeros(0, np.int64)
+    if not len(rare):
+        return none, none, np.zeros(0)
+    inside = np.flatnonzero(np.isin(token, template))
+    at = np.searchsorted(rare, place[inside])
+    near = np.minimum(np.abs(rare[np.minimum(at, len(rare) - 1)] - place[inside]), np.abs(place[inside] - rare[np.maximum(at - 1, 0)]))
+    inside = inside[near < size]
+    p, t = place[inside], token[inside]
+    # A word counts in the blocks that begin after the token's last word before it, and hold it.
+    order = np.lexsort((p, t))
+    before = np.full(len(p), -1 - 2 * size, np.int64)
+    again = t[order][1:] == t[order][:-1]
+    before[order[1:][again]] = p[order[:-1][again]]
+    begin, end = np.maximum(before + 1, p - size + 1), p + 1
+    edge, where = np.unique(np.concatenate((begin, end)), return_inverse=True)
+    held = np.cumsum(np.bincount(where, np.concatenate((np.ones(len(p)), np.full(len(p), -1.0)))).round().astype(np.int64))
+    hit = np.flatnonzero(held >= need)  # blocks that begin from one edge to before the next
+    first = np.searchsorted(p, edge[hit])
+    last = np.searchsorted(p, edge[hit + 1] - 1 + size) - 1
+    return inside[first], inside[last], held[hit] / len(template)
 
 
 OUT = pa.schema([
@@ -120,7 +126,9 @@ OUT = pa.schema([
 _OUT_DDL = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long"
 
 
-def _scan(tokens: Tokens, templates: list[tuple[str, list[int]]], phrases: list[tuple[str, list[int]]], threshold: float):
+def _scan(tokens: Tokens, templates: list[tuple[str, int, list[int]]], phrases: list[tuple[str, list[int]]], threshold: float, wrapped: bool):
+    gap = 2 * max(size for _, size, _ in templates)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -151,23 +159,26 @@ def _scan(tokens: Tokens, templates: list[tuple[str, list[int]]], phrases: list[
                 score, n_blocks = np.zeros(rows), np.zeros(rows, np.int64)
                 known = np.flatnonzero(found >= 0)
                 if len(known):
-                    # Lines: a block is the number of line ends (and text ends) before a word.
-                    breaks = np.unique(np.concatenate((np.flatnonzero(data == 10), offsets)))
-                    block_of = np.searchsorted(breaks, start, side="right")
-                    names, block_of = np.unique(block_of, return_inverse=True)
-                    size = np.bincount(block_of, minlength=len(names))
-                    owner = np.zeros(len(names), np.int64)
-                    owner[block_of] = row
-                    pairs = np.unique(block_of[known] * np.int64(len(tokens.tokens)) + found[known])
-                    block, token = pairs // len(tokens.tokens), pairs % len(tokens.tokens)
-                    hits = []
-                    for label, template in templates:
-                        which, share = contained(block, token, size, template, threshold)
-                        np.maximum.at(score, owner[which], share)
-                        hits.append(which)
-                        for r in np.unique(owner[which]):
+                    # Texts (and lines, if blocks end there) are set apart, so that no block reaches from one into the next.
+                    ends = offsets if wrapped else np.unique(np.concatenate((np.flatnonzero(data == 10), offsets)))
+                    place, owner = known + np.searchsorted(ends, start[known], side="right") * np.int64(gap), row[known]
+                    spans = []
+                    for label, size, template in templates:
+                        need = math.ceil(threshold * len(template) - 1e-9)
+                        enough = n_words[owner] >= need
+                        mine = np.flatnonzero(enough)
+                        lo_, hi_, share = windows(place[mine], found[known[mine]], size, template, threshold)
+                        lo_, hi_ = mine[lo_], mine[hi_]
+                        np.maximum.at(score, owner[lo_], share)
+                        spans.append((lo_, hi_))
+                        for r in np.unique(owner[lo_]):
                             labels[r].add(label)
-                    np.add.at(n_blocks, owner[np.unique(np.concatenate(hits))], 1)
+                    begin, end_ = (np.concatenate([x[k] for x in spans]) for k in (0, 1))
+                    if len(begin):  # passages: blocks that share words are one
+                        order = np.argsort(begin, kind="stable")
+                        begin, far = begin[order], np.maximum.accumulate(end_[order])
+                        new = np.concatenate(([True], begin[1:] > far[:-1]))
+                        n_blocks = np.bincount(owner[begin[new]], minlength=rows)
                 columns = [
                     part.column("doc_id").to_pylist(), n_words, n_base,
                     [int(at[lo[r]] - first[r]) if n_base[r] else None for r in range(rows)],
@@ -180,18 +191,20 @@ def _scan(tokens: Tokens, templates: list[tuple[str, list[int]]], phrases: list[
     return tidy(run)
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a document; ``score``: the largest containment of a template in a block at the threshold, 1 with a base label."""
+def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+    """One row a document; ``score``: the largest containment of a template in a block at the threshold, 1 with a base label;
+    ``n_blocks``: passages of such blocks, those that share words being one.
+    ``wrapped``: blocks run over line ends, as the query wants them; else they end there."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = Tokens([*phrases, *(t for _, t in templates)])
     counts = read.select("text").mapInArrow(_frequencies(tokens), "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequency = {r["token"]: r["n"] for r in counts.collect()}  # a row for each token of the templates
     ordered = [
-        (label, sorted({tokens.number[w] for w in text.split()}, key=lambda k: (frequency.get(k, 0), k))) for label, text in templates
+        (label, len(text.split()), sorted({tokens.number[w] for w in text.split()}, key=lambda k: (frequency.get(k, 0), k))) for label, text in templates
     ]
     wanted = [(label, [tokens.number[w] for w in phrase.split()]) for phrase, label in phrases.items()]
-    return read.mapInArrow(_scan(tokens, ordered, wanted, threshold), _OUT_DDL)
+    return read.mapInArrow(_scan(tokens, ordered, wanted, threshold, wrapped), _OUT_DDL)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(table(spark, sf_dir, "documents"), wrapped=True)

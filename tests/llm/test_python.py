@@ -314,6 +314,33 @@ def test_license_scan(spark):
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+def test_notices_over_line_ends(spark):
+    """Notices wrapped as the standard files wrap them, and tokens scattered over one long line."""
+    rng = random.Random(14)
+    wrapped = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")"),
+        ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+        ("gpl-3", "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"),
+    ]
+    pairs = [(i, prose(rng, 20) + "\n" + t + "\n" + prose(rng, 20)) for i, (_, t) in enumerate(wrapped)]
+    pairs.append((3, " ".join(w + " " + prose(rng, 6) for w in wrapped[1][1].split())))
+    for i in range(10, 90):
+        words = [w for w in rng.choice(license_scan.TEMPLATES)[1].split() if rng.random() < 0.9]
+        pairs.append((i, " ".join(w + rng.choice([" ", "\n", "\n\n", " qq "]) for w in [*words, *prose(rng, 4).split(), *words[:6], *words])))
+    got = {r.doc_id: r for r in license_scan.license_scan(docs(spark, pairs), wrapped=True).collect()}
+    assert [(got[i].labels, got[i].score, got[i].n_blocks) for i in range(4)] == [("mit", 1.0, 1), ("bsd", 1.0, 1), ("gpl-3", 1.0, 1), ("", 0.0, 0)]
+    for i, text in pairs:
+        words, best, labels = [w.decode() for w in brute_words(text)], 0.0, set()
+        for label, template in license_scan.TEMPLATES:
+            need, n = set(template.split()), len(template.split())
+            share = max(len(need & set(words[s : s + n])) / len(need) for s in range(max(1, len(words) - n + 1)))
+            if share >= 0.8 - 1e-12:
+                labels.add(label)
+                best = max(best, share)
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == labels | base and got[i].score == pytest.approx(1.0 if base else best)
+
+
 # -- nearest neighbours ----------------------------------------------------------------------------------------------
 
 
