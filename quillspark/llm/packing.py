@@ -15,6 +15,7 @@ often as they occur; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,12 +36,33 @@ END_ID = 1
 SHORTEST = 64
 #: Words kept with their ids by a Python worker, twice: of two generations.
 CACHE_WORDS = 350_000
+#: Bytes of text whose words are looked up together, and words that the tokenizer gets as one text.
+SLICE, JOINED = 4 << 20, 256
 #: White space or case rules that a cut at ASCII white space would not follow: such texts go to the tokenizer whole.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\u00a0\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]|<\\|")
+#: The rules of a tokenizer whose words may be encoded one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "</w>"
+#: Letters and the marks behind them are cut apart by that split too.
+_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+_MARKS = re.compile(r"[!-/:-@\[-`{-~]+")
+
+
+def splits_at_spaces(rules: dict) -> bool:
+    """Whether a tokenizer's file has the rules that ``WordIds`` relies on to encode word by word."""
+    pre = rules.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [{}])[0]
+    return (
+        (rules.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and first.get("type") == "Split" and first.get("pattern") == {"Regex": _SPLIT}
+        and first.get("behavior") == "Removed" and first.get("invert") is True and rules["model"].get("end_of_word_suffix") == _END
+        and all(t["content"].startswith("<|") for t in rules.get("added_tokens", []))
+    )
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer whose ids do not cross white space: words' ids are remembered as bytes."""
+    """Ids of whole texts. Where the tokenizer's rules keep ids inside words, a slice's distinct words are looked up and its
+    texts are gathered from them; the words' ids are remembered as bytes. Any other tokenizer gets the texts whole."""
 
     def __init__(self, path: str):
         import os
@@ -48,47 +71,73 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self._tokenizer.to_str())
+        self.by_word = splits_at_spaces(rules)
+        vocabulary = self._tokenizer.get_vocab()
+        self._last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._last[[i for t, i in vocabulary.items() if t.endswith(_END)]] = True
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> None:
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
-            for w, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self._young[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Letters and the mark behind them are cut apart by the tokenizer too, so ``word,`` needs ``word`` and ``,``."""
-        old, young = self._old, self._young
-        fresh, marked = set(), []
-        for w in words:
-            known = old.get(w)
-            if known is not None:
-                young[w] = known
-            elif w[-1] in ".," and w[:-1].isalpha():
-                marked.append(w)
-                for part in (w[:-1], w[-1]):
-                    if part not in young:
-                        if part in old:
-                            young[part] = old[part]
-                        else:
-                            fresh.add(part)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Runs of letters or of marks have one end each, so many go as one text; other words go one by one."""
+        runs = [w for w in fresh if w.isalpha() or _MARKS.fullmatch(w)]
+        rest = [w for w in fresh if not (w.isalpha() or _MARKS.fullmatch(w))]
+        groups = [runs[i : i + JOINED] for i in range(0, len(runs), JOINED)]
+        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups])):
+            end = 4 * (np.flatnonzero(self._last[np.frombuffer(ids, "<u4")]) + 1)
+            if len(end) == len(group):
+                self._young.update((w, ids[a:b]) for w, a, b in zip(group, [0, *end.tolist()], end.tolist()))
             else:
-                fresh.add(w)
-        self._encode(list(fresh))
-        for w in marked:
-            young[w] = young[w[:-1]] + young[w[-1]]
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if _ODD.search(text):
-            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = unicodedata.normalize("NFC", text).lower().split()
-        if missing := {w for w in found if w not in self._young}:
-            self._learn(missing)
-        out = b"".join(map(self._young.__getitem__, found))
-        if len(self._young) > CACHE_WORDS:
-            self._old, self._young = self._young, {}
+                rest += group
+        for i in range(0, len(rest), 10_000):
+            self._young.update(zip(rest[i : i + 10_000], self._whole(rest[i : i + 10_000])))
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        young, old = self._young, self._old
+        out = [young.get(w) for w in words]
+        parts, fresh = {}, {}
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            cut_ = _MARKED.fullmatch(words[i])
+            parts[i] = cut_.groups() if cut_ and cut_[1].isalpha() else (words[i],)
+            for part in parts[i]:
+                if part not in young:
+                    if part in old:
+                        young[part] = old[part]
+                    else:
+                        fresh[part] = None
+        self._learn(list(fresh))
+        for i, found in parts.items():
+            out[i] = b"".join(young[part] for part in found)
+        if len(young) > CACHE_WORDS:
+            self._old, self._young = young, {}
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text."""
+        if not self.by_word:
+            return self._whole(texts)
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        low = pa.array([unicodedata.normalize("NFC", t).lower() for t in texts], pa.large_string())
+        words = pc.ascii_split_whitespace(low)
+        known = words.values.dictionary_encode()
+        ids = self._of_words(known.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        index = known.indices.to_numpy()
+        n = size[index]
+        end = np.cumsum(n)
+        source = np.repeat((np.cumsum(size) - size)[index] - (end - n), n)
+        source += np.arange(len(source))
+        flat = pool[source].tobytes()
+        bounds = 4 * np.concatenate(([0], end))[words.offsets.to_numpy()]
+        out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i, whole in zip(odd, self._whole([texts[i] for i in odd])):
+            out[i] = whole
         return out
 
 
@@ -126,10 +175,10 @@ def _pieces(path: str, capacity: int, end_id: int):
         encode, task, ranks = tokenizer_of(path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
-                    ids = encode(text.as_py() or "") + end
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()])):
+                    ids += end
                     total, start = len(ids) // 4, 0
                     for n in cut(total, capacity):
                         k = capacity // n
