@@ -5,14 +5,14 @@
    grouped aggregates over ``BUCKETS`` word buckets and the domains, so the fitted table has a fixed size.
 2. With a[i,d] = tokens_i * p[i,d], rates r >= 0 minimise the squared distance of sum_i r_i a[i,.] from the targets T, in
    the metric of G = sum_i tokens_i p_i p_i' : projected gradient steps r_i <- max(0, r_i - p_i . G^-1 (sum_j r_j a[j,.] - T)),
-   whose step length is one. Each is one distributed aggregate of D sums; a document's rate is an expression over the steps
-   so far, written down every few steps.
+   whose step length is one, taken from a little ahead (momentum, begun anew when the distance grows). Each is one distributed
+   aggregate of D sums; a document's rate is a fold over the steps so far, written down every few steps.
 3. A rate becomes copies: floor(rate), and one more when a hash of the document's key falls under the fraction.
 
 Everything is DataFrame expressions; the driver sees the fitted tables and D sums a step.
 Defined cases: a null or wordless text has 0 tokens, the domains' prior as posterior, and the rate fitted for that; labels
 of unknown documents are unused; without any labelled document every document belongs to ``unlabelled`` alone; an empty
-table gives no rows; a target for a domain that no document can supply is left unmet; if no
+table gives no rows; targets that no rates can meet are met as nearly as can be, without a word; if no
 target names a domain that there is, every rate is 1; other columns pass through.
 """
 
@@ -47,7 +47,7 @@ def train(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) ->
     ``labelled``: doc_id, domain. The sample is the ``train_rows`` labelled rows with the least hashes.
     """
     labelled = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    sizes = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(16).collect()}
+    sizes = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
     if not sizes:
         return ["unlabelled"], {"unlabelled": 0.0}, {"unlabelled": [0.0] * BUCKETS}
     total, domains = sum(sizes.values()), sorted(sizes)
@@ -62,8 +62,7 @@ def train(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
     table_ = {d: [1.0] * BUCKETS for d in domains}
     for r in counts:
-        if r["domain"] in table_:
-            table_[r["domain"]][r["b"]] += r["n"]
+        table_[r["domain"]][r["b"]] += r["n"]
     sums = {d: sum(table_[d]) for d in domains}
     return (
         domains,
@@ -72,6 +71,11 @@ def train(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) ->
     )
 
 
+def _numbers(values: list[float]) -> Column:
+    """A constant array as one literal, which is parsed once: thousands of literals would be slow to plan."""
+    return F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>")
+
+
 def posteriors(docs: DataFrame, domains: list[str], prior: dict[str, float], likelihood: dict[str, list[float]]) -> DataFrame:
     """_row key, tokens, p (array over ``domains``) of every row; words are exploded and summed again in the same task.
 
@@ -83,7 +87,7 @@ def posteriors(docs: DataFrame, domains: list[str], prior: dict[str, float], lik
     base = likelihood[domains[0]]
     scored = one.select("doc_id", "_h", "w", _bucket(F.col("w")).alias("b"))
     sums = [
-        F.sum(F.element_at(F.lit([likelihood[d][b] - base[b] for b in range(BUCKETS)]), F.col("b") + 1)).alias(f"s{k}")
+        F.sum(F.element_at(_numbers([likelihood[d][b] - base[b] for b in range(BUCKETS)]), F.col("b") + 1)).alias(f"s{k}")
         for k, d in enumerate(domains[1:], 1)
     ]
     agg = scored.groupBy("doc_id", "_h").agg(F.count("w").alias("tokens"), *sums)
@@ -100,15 +104,20 @@ def posteriors(docs: DataFrame, domains: list[str], prior: dict[str, float], lik
 
 #: Steps that are one expression; after so many, rates are written down and the next begin from there.
 STEPS_AT_ONCE = 8
+#: Over so many steps the distance must fall by a hundredth; else the rates are as near as they get.
+PATIENCE = 10
+
 
+def _after(steps: list[tuple[float, list[float]]]) -> Column:
+    """The rate, and the one before it, after further steps (momentum, movement in each domain): a fold over the row alone."""
+    plan = F.array(*[F.struct(F.lit(m).alias("m"), F.array(*map(F.lit, g)).alias("g")) for m, g in steps])
 
-def _rate(steps: list[list[float]]) -> Column:
-    """The rate after further steps: nested expressions over the row alone."""
-    rate = F.col("rate")
-    for g in steps:
-        move = sum((F.element_at("p", d + 1) * F.lit(x) for d, x in enumerate(g)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+    def step(state: Column, s: Column) -> Column:
+        ahead = state["rate"] + s["m"] * (state["rate"] - state["prior"])
+        move = F.aggregate(F.zip_with("p", s["g"], lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+        return F.struct(F.greatest(F.lit(0.0), ahead - move).alias("rate"), state["rate"].alias("prior"))
+
+    return F.aggregate(plan, F.struct(F.col("rate"), F.col("prior")), step)
 
 
 def _solve(gram: list[list[float]], x: list[float]) -> list[float]:
@@ -127,30 +136,46 @@ def _solve(gram: list[list[float]], x: list[float]) -> list[float]:
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], tokens: float | None = None,
-              tolerance: float = 1e-4, most_steps: int = 60) -> tuple[DataFrame, list[list[float]]]:
-    """``members`` with ``rate``. ``targets``: weight of each domain, normalised; ``tokens``: the total wanted (default:
-    as many as there are). Stops when no domain is off by more than ``tolerance`` of the total, or after ``most_steps``."""
+              tolerance: float = 1e-4, most_steps: int = 400) -> tuple[DataFrame, int]:
+    """``members`` with ``rate``, and the number of steps. ``targets``: weight of each domain, normalised; ``tokens``: the
+    total wanted (default: as many as there are). Stops when no domain is off by more than ``tolerance`` of the total, or when
+    steps hardly lessen the distance: the targets are then out of reach. RuntimeError if neither comes within ``most_steps``."""
     dims = range(len(domains))
     p = [F.element_at("p", d + 1) for d in dims]
     sums = lambda r: [F.coalesce(F.sum(r * F.col("tokens") * p[d]), F.lit(0.0)) for d in dims]
-    members = members.withColumn("rate", F.lit(1.0))
+    members = members.withColumn("rate", F.lit(1.0)).withColumn("prior", F.lit(1.0))
     pairs = [F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)) for i in dims for j in dims]
     got, *flat = (lambda row: (list(row[: len(domains)]), *row[len(domains) :]))(members.agg(*sums(F.col("rate")), *pairs).first())
     gram = [flat[i * len(domains) : (i + 1) * len(domains)] for i in dims]
     total = sum(got) if tokens is None else tokens
     weight = sum(targets.get(d, 0.0) for d in domains)
     if not weight:
-        return members, []
+        return members.drop("prior"), 0
     wanted = [total * targets.get(d, 0.0) / weight for d in domains]
-    steps: list[list[float]] = []
-    fresh = 0
-    while total and len(steps) < most_steps and max(abs(g - w) for g, w in zip(got, wanted)) > tolerance * total:
-        if fresh == STEPS_AT_ONCE:
-            members, fresh = materialize(members.withColumn("rate", _rate(steps[-fresh:])), "rates"), 0
-        steps.append(_solve(gram, [g - w for g, w in zip(got, wanted)]))
-        fresh += 1
-        got = list(members.agg(*sums(_rate(steps[-fresh:]))).first())
-    return members.withColumn("rate", _rate(steps[-fresh:]) if fresh else F.col("rate")), steps
+
+    def off(sums: list[float]) -> list[float]:
+        return [g - w for g, w in zip(sums, wanted)]
+
+    def distance(sums: list[float]) -> float:
+        return sum(x * y for x, y in zip(off(sums), _solve(gram, off(sums))))
+
+    fresh: list[tuple[float, list[float]]] = []
+    done, age, last, ways = 0, 1.0, got, [distance(got)]
+    while total and max(map(abs, off(got))) > tolerance * total and not (done >= PATIENCE and ways[-1] > 0.99 * ways[-1 - PATIENCE]):
+        if done == most_steps:
+            raise RuntimeError(f"rates have not settled after {most_steps} steps: {got} instead of {wanted} tokens")
+        if len(fresh) == STEPS_AT_ONCE:
+            moved = members.withColumn("_s", _after(fresh)).withColumn("rate", F.col("_s")["rate"]).withColumn("prior", F.col("_s")["prior"])
+            members, fresh = materialize(moved.drop("_s"), "rates"), []
+        older, age = age, (1 + (1 + 4 * age * age) ** 0.5) / 2
+        momentum = (older - 1) / age
+        fresh.append((momentum, _solve(gram, off([g + momentum * (g - x) for g, x in zip(got, last)]))))
+        last, got = got, list(members.agg(*sums(_after(fresh)["rate"])).first())
+        done += 1
+        ways.append(distance(got))
+        if ways[-1] > ways[-2]:
+            age = 1.0
+    return members.withColumn("rate", _after(fresh)["rate"] if fresh else F.col("rate")).drop("prior"), done
 
 
 #: Production weights of the domains that the labels table defines.
