@@ -41,6 +41,35 @@ TEMPLATES = [
     ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 ]
+#: Texts of whole licenses and of their standard headers.
+TEXTS = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+            "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+            "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to "
+            "do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+            "copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied "
+            "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no "
+            "event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of "
+            "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+                 "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or "
+                 "agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+                 "conditions of any kind either express or implied see the license for the specific language governing permissions and "
+                 "limitations under the license"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+              "published by the free software foundation either version 3 of the license or at your option any later version this program is "
+              "distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability "
+              "or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of "
+              "the gnu general public license along with this program if not see https www gnu org licenses"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+            "conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the "
+            "following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+            "the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+            "that the above copyright notice and this permission notice appear in all copies"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+              "with this file you can obtain one at https mozilla org mpl 2 0"),
+]
 THRESHOLD = 0.8
 
 
@@ -207,4 +236,4 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"), wrapped=True)
+    return license_scan(table(spark, sf_dir, "documents"), [*TEMPLATES, *TEXTS], wrapped=True)
