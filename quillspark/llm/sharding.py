@@ -39,7 +39,8 @@ def rendezvous(docs: DataFrame, weights: list[float], new_weight: float = 1.0, b
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     Slots run by doc_id. They come from two small steps: counts of each (shard, block of doc_ids) summed up before it, and
-    a rank inside it, so no task sees more than one block of one shard.
+    a rank inside it, so no task sees more than one block of one shard; a block that repeated or null ids crowd is cut in
+    parts, whose slots follow one another.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     all_shards = best_shard(F.col("key"), weights)
@@ -58,16 +59,20 @@ def rendezvous(docs: DataFrame, weights: list[float], new_weight: float = 1.0, b
         rows = rows.withColumn("grown_shard", F.when(wins, newcomer).otherwise(F.col("shard")))
     else:
         rows = rows.withColumn("grown_shard", best_shard(F.col("key"), [*weights, new_weight]))
-    rows = materialize(rows.drop("key"), "shards")
-    counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    rows = materialize(rows.drop("key").withColumn("draw", F.rand(9)), "shards")
+    # A block has over ``block`` rows only where ids repeat or lack: it is cut by the draw, which is written down.
+    crowded = rows.groupBy("shard", "block").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1))
+    rows = rows.join(crowded, ["shard", "block"], "left").withColumn("part", F.floor(F.col("draw") * parts)).drop("n", "draw")
+    counts = rows.groupBy("shard", "block", "part").agg(F.count("*").alias("n"))
     before = counts.select(
-        "shard", "block",
-        (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("base"),
+        "shard", "block", "part",
+        (F.sum("n").over(Window.partitionBy("shard").orderBy("block", "part")) - F.col("n")).alias("base"),
     )
-    local = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
+    local = F.row_number().over(Window.partitionBy("shard", "block", "part").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
         rows.withColumn("local", local)
-        .join(before, ["shard", "block"])
+        .join(before, ["shard", "block", "part"])
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"),
                 (F.col("base") + F.col("local")).cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
     )
