@@ -8,9 +8,10 @@ from the vocabulary's scores and are fitted to the training documents by expecte
 distinct words, weighted by their counts); the end's is its share of the tokens. Single bytes are always pieces, so every
 text has a probability.
 
-Counts cover every training document: words are counted inside blocks of documents, blocks meet by word, and a block's
-own words go back to it with their counts, so no vocabulary of the corpus is broadcast or collected. Only the pieces
-(their number is fixed by the vocabulary file) and three totals pass through the driver.
+Counts cover every training document: words are counted inside blocks of documents, summed by word (partial sums first, so
+a word of every block is one row a task), scored once each, and a block's own words get their sums and scores by a join,
+whose crowded words adaptive execution splits. No vocabulary of the corpus is broadcast or collected: only the pieces (their
+number is fixed by the vocabulary file) and three totals pass through the driver.
 
 Defined cases: a null or blank text is the end alone; a null doc_id is the text "null" for the split; repeated rows count as
 often as they occur; without any training document all counts are 0 and the pieces keep the vocabulary's scores; an empty
@@ -26,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, materialize, table, tidy
 
-#: Documents of one block: the most that one task holds together with their words' counts.
-BLOCK_DOCS = 8192
+#: Bytes of text that a block of documents is meant to have; a task holds a block together with its words' counts.
+BLOCK_BYTES = 16 << 20
 SPACE = "▁".encode()
 #: Weight of the vocabulary's own scores, in tokens, when pieces are fitted.
 PRIOR_TOKENS = 1000.0
@@ -96,6 +97,7 @@ class Lattices:
             rest[first] = False
             left = (left[0][rest], left[1][rest])
             bits = 14
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Piece number, -1 for a mere prefix of one, -2 for neither."""
         found = np.full(len(h), -2, np.int64)
@@ -209,19 +211,16 @@ def _expect(lattices: Lattices):
 
 
 def _word_scores(lattices: Lattices, end: float):
-    """Adds the words' marginals; rows of one word are neighbours, so a word is walked once."""
-    schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("c", pa.int64()), ("lp", pa.float64())])
+    """Adds the marginals of distinct words."""
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("lp", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("word").to_pylist()
-            place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-            distinct = list(place)
-            lp = np.concatenate([lattices.marginals(distinct[i : i + BATCH_WORDS]) for i in range(0, len(distinct), BATCH_WORDS)]) if words else np.zeros(0)
-            if END in place:
-                lp[place[END]] = end
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("word"), batch.column("c"), pa.array(lp[[place[w] for w in words]] if words else lp)], schema=schema)
+            lp = [lattices.marginals(words[i : i + BATCH_WORDS]) for i in range(0, len(words), BATCH_WORDS)]
+            lp = np.concatenate(lp) if lp else np.zeros(0)
+            lp[[i for i, w in enumerate(words) if w == END]] = end
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp)], schema=schema)
 
     return tidy(run)
 
@@ -249,33 +248,33 @@ def _score(total: int, distinct: int):
     return run
 
 
-def _blocks(read: DataFrame, block_docs: int) -> DataFrame:
-    """Adds ``block``: runs of neighbouring ids, as many docs a block as asked for if the ids are spread evenly; where
-    they are not, or repeat, blocks are cut further by the text's hash."""
-    low, high, rows = read.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, block_docs * ((high or 0) - (low or 0) + 1) // max(rows, 1))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long")
-    most = read.groupBy(block.alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    cuts = max(1, math.ceil(most / (2 * block_docs)))
-    return read.withColumn("block", block * cuts + F.pmod(F.xxhash64("text"), F.lit(cuts)) if cuts > 1 else block)
+def _blocks(read: DataFrame, block_bytes: int) -> DataFrame:
+    """Adds ``block``: runs of neighbouring ids of about so many bytes if the ids are spread evenly. Where they are not, or
+    repeat, blocks are cut further by the text's hash; a text that is as long as a block is one by itself."""
+    size = F.octet_length("text").cast("long") + 1
+    alone = size >= block_bytes
+    usual = F.when(~alone, size)
+    low, high, total = read.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum(usual), F.lit(0))).first()
+    width = max(1, block_bytes * ((high or 0) - (low or 0) + 1) // max(total, 1))
+    block = F.coalesce(F.expr(f"(CAST(doc_id AS DECIMAL(20)) - {low or 0}) div {width}").cast("long"), F.lit(-1).cast("long"))
+    most = read.groupBy(block.alias("b")).agg(F.sum(usual).alias("n")).agg(F.max("n")).first()[0] or 0
+    cuts = max(1, math.ceil(most / (2 * block_bytes)))
+    cut = block * cuts + F.pmod(F.xxhash64("text"), F.lit(cuts)) if cuts > 1 else block
+    own = F.lit(-1) - cuts - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))  # below all others
+    return read.withColumn("block", F.when(alone, own).otherwise(cut))
 
 
-def lm_scores(docs: DataFrame, vocabulary: str, block_docs: int = BLOCK_DOCS, prior_tokens: float = PRIOR_TOKENS) -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: str, block_bytes: int = BLOCK_BYTES, prior_tokens: float = PRIOR_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     read = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(key.cast("binary")) % 5 == 1).alias("held_out"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    read = _blocks(read, block_docs)
-    counted = read.select("block", "held_out", "text").mapInArrow(_count_words, "block long, word binary, n long")
-    by_word = Window.partitionBy("word")
-    counted = counted.select(
-        "block", "word", F.sum("n").over(by_word).alias("c"),
-        (F.row_number().over(by_word.orderBy("block")) == 1).alias("once"),
-    )
-    counted = materialize(counted, "word-counts")
-    known = counted.where("once AND c > 0")
+    read = _blocks(read, block_bytes)
+    counted = materialize(read.select("block", "held_out", "text").mapInArrow(_count_words, "block long, word binary, n long"), "word-counts")
+    sums = materialize(counted.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    known = sums.where("c > 0")
     total, distinct, ends = known.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
     logp = vocabulary_scores(vocabulary)
@@ -287,7 +286,8 @@ def lm_scores(docs: DataFrame, vocabulary: str, block_docs: int = BLOCK_DOCS, pr
     end = math.log((ends + 0.5) / (mass + ends + 1.0))
     rest = math.log1p(-math.exp(end))
     logp = {p: math.log((n + prior_tokens * math.exp(lp)) / mass) + rest for (p, lp), n in zip(logp.items(), counts)}
-    scored = counted.select("block", "word", "c").mapInArrow(_word_scores(Lattices(logp), end), "block long, word binary, c long, lp double")
+    scored = sums.mapInArrow(_word_scores(Lattices(logp), end), "word binary, c long, lp double")
+    scored = counted.select("block", "word").join(scored.hint("merge"), "word")
     return (
         read.groupBy("block").cogroup(scored.groupBy("block"))
         .applyInPandas(_score(int(total), int(distinct)), _OUT)
