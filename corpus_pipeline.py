@@ -6,12 +6,10 @@ whose rate is above one, so later rows may share a doc_id.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import discard, materialize, table, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +17,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark, f"quillspark_digests_{uuid.uuid4().hex[:12]}"))
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = set(written())
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(spark, *(p for p in written() if p not in before and p != docs._scratch))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset, and then
+    only in local mode: executors elsewhere could not read it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="quillspark-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
@@ -39,7 +43,63 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back: lineage ends, lost executors cost nothing."""
     path = f"{scratch_dir(df.sparkSession)}/quillspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    _WRITTEN.append(path)
+    return made
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete materialized steps that nothing reads any more."""
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def written() -> list[str]:
+    """Paths of all steps that are still there."""
+    return list(_WRITTEN)
+
+
+class Slots:
+    """Which 64-bit hashes may be among those of ``keys`` (a table of one column): a bit a slot, 16 slots a key up to
+    2^``MOST_BITS``, so 4 MB at most are broadcast, however many keys there are. No key is ever denied. With more keys than
+    slots most hashes may match, and the join behind it decides about nearly every row, as it would without."""
+
+    MOST_BITS = 25
+
+    def __init__(self, keys: DataFrame):
+        self.bits = min(self.MOST_BITS, max(15, (16 * keys.count()).bit_length()))
+        slot = self._slot(F.col(keys.columns[0]))
+        maps = keys.select(F.bitmap_bucket_number(slot).alias("_map"), F.bitmap_bit_position(slot).alias("_at"))
+        self.maps = maps.groupBy("_map").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+
+    def _slot(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(1 << self.bits)) + 1
+
+    def mark(self, rows: DataFrame, key: Column) -> DataFrame:
+        """``rows`` with ``_may``, for a hash ``key`` made of their columns."""
+        slot = self._slot(key)
+        rows = rows.withColumn("_map", F.bitmap_bucket_number(slot)).withColumn("_at", F.bitmap_bit_position(slot).cast("int"))
+        byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_at", 3) + 1, F.lit(1))), 16, 10).cast("int")
+        bit = F.expr("shiftright(_byte, _at & 7) & 1") == 1
+        out = rows.join(F.broadcast(self.maps), "_map", "left").withColumn("_byte", byte).withColumn("_may", F.coalesce(bit, F.lit(False)))
+        return out.drop("_map", "_at", "_byte", "_bits")
+
+
+def rows_without(docs: DataFrame, key: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose ``key`` (name to expression over ``docs``; nulls are equal) is a row of ``gone``, which has
+    columns of these names. Only rows that may be gone are shuffled; the others, with their texts, stay where they are."""
+    gone = materialize(gone.select(*key).distinct(), "gone")
+    packed = docs.select(F.struct("*").alias("_row"), *[c.alias(k) for k, c in key.items()])
+    marked = Slots(gone.select(F.xxhash64(*key).alias("h"))).mark(packed, F.xxhash64(*key))
+    right = gone.select(*[F.col(k).alias(f"_gone_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in key]
+    unsure = marked.where("_may").join(right, functools.reduce(lambda a, b: a & b, same), "left_anti")
+    return marked.where("NOT _may").select("_row.*").unionByName(unsure.select("_row.*"))
 
 
 def text_or_empty(col: str = "text"):

@@ -1,11 +1,15 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, each written to shared storage."""
+"""Connected components of an edge table by alternating large-star and small-star steps, each written to shared storage.
+
+Defined cases: an edge with a null end joins nothing and is left out, as is one from a node to itself; repeated edges count
+once; an empty table gives no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,6 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Both steps reduce a node's neighbours to their least one (partial minima, so a node of very many links is one row a
     task) and join that back; no neighbour list is ever built. The number of steps grows with the logarithm of the longest path.
     """
+    spark = edges.sparkSession
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -24,7 +29,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        older = (now._scratch, large._scratch)
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(spark, *older)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

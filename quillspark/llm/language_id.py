@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, flat_bytes, materialize, slices, table, tidy
+from .common import _LOWER, flat_bytes, materialize, rows_without, slices, table, tidy
 
 BITS = 15
 TRAIN_ROWS = 20_000
@@ -242,7 +242,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are accepted, in all their columns. Rows are told apart by doc_id and their text's hash."""
     marked = of_documents(docs).withColumn("id", F.xxhash64("id", F.coalesce("text", F.lit("")), "host"))
-    kept = identify(marked, train(labelled_documents(docs))).where("accepted").select(F.col("id").alias("_k")).distinct()
+    rejected = identify(marked, train(labelled_documents(docs))).where("NOT accepted").select(F.col("id").alias("_k"))
     source = F.coalesce(F.concat(F.lit("source:"), F.col("source").cast("string")), F.lit("source:"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), source)
-    return docs.join(kept, key == kept["_k"], "left_semi")
+    return rows_without(docs, {"_k": key}, rejected)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_counts, materialize, mix64, shingle_hashes, slices, table, text_or_empty, tidy
+from .common import Slots, distinct_counts, materialize, mix64, rows_without, shingle_hashes, slices, table, text_or_empty, tidy
 from .components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -70,13 +70,15 @@ def probminhash(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int,
 
 
 def sketches(texts: pa.Array, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, registers: int = REGISTERS):
-    """Band keys (null for a text without words) and a byte of each register."""
+    """Band keys (null for a text without words), and a byte of each register followed by a second one of those in bands.
+    Keys are made of these bytes alone (16 bits a register, 64 a band of four), so sketches tell which bands two texts share."""
     row, key, _ = distinct_counts(*shingle_hashes(texts, shingle))
     signature = probminhash(row, key, np.ones(len(key)), len(texts), max(registers, bands * rows))
-    sketch = (signature >> np.uint64(56)).astype(np.uint8)
+    sketch = np.concatenate(((signature >> np.uint64(56)).astype(np.uint8), (signature[:, : bands * rows] >> np.uint64(48)).astype(np.uint8)), 1)
     out = np.zeros((len(texts), bands), np.uint64)
-    for j in range(rows):  # from the bytes alone, so that sketches tell which bands two texts share
-        out = mix64((out + sketch[:, j : bands * rows : rows]).ravel()).reshape(out.shape)
+    for j in range(rows):
+        for first in (0, signature.shape[1]):
+            out = mix64((out + sketch[:, first + j : first + bands * rows : rows]).ravel()).reshape(out.shape)
     out = mix64((out + np.arange(1, bands + 1, dtype=np.uint64)).ravel()).reshape(out.shape).view(np.int64)
     some = np.bincount(row, minlength=len(texts)) > 0
     return [out[i].tolist() if some[i] else None for i in range(len(texts))], [s.tobytes() for s in sketch]
@@ -132,8 +134,9 @@ def close_pairs(group: np.ndarray, root: np.ndarray, sketch: np.ndarray, least:
 
 
 def first_shared(a: np.ndarray, b: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """The first band that two sketches share, pair by pair."""
-    return (a[:, : bands * rows] == b[:, : bands * rows]).reshape(len(a), bands, rows).all(2).argmax(1)
+    """The first band that two sketches share, pair by pair: both bytes of all its registers."""
+    same = (a[:, : bands * rows] == b[:, : bands * rows]) & (a[:, -bands * rows :] == b[:, -bands * rows :])
+    return same.reshape(len(a), bands, rows).all(2).argmax(1)
 
 
 def _screen(least: float, bands: int, rows_: int):
@@ -150,7 +153,7 @@ def _screen(least: float, bands: int, rows_: int):
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
         # In a group of two blocks, pairs within a block are left to that block's own group.
-        i, j = close_pairs(np.cumsum(new), root, sketch, least)
+        i, j = close_pairs(np.cumsum(new), root, sketch[:, : -bands * rows_], least)
         mine, block, other = (rows.column(c).to_numpy() for c in ("mine", "block", "other"))
         across = (block[i] == other[i]) | (mine[i] != mine[j])
         i, j = i[across], j[across]
@@ -233,8 +236,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
         buckets.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(),
         "hub-pairs")
     wanted = buckets.select("node").distinct()
-    sources = by_text.join(wanted, "node", "left_semi").select(F.col("node").alias("want"), "text_id")
+    sources = materialize(by_text.join(wanted, "node", "left_semi").select(F.col("node").alias("want"), "text_id"), "sources")
     texts = read.select("doc_id", text_or_empty().alias("text")).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
+    # Texts of documents without a bucket stay where they are.
+    texts = Slots(sources.select(F.xxhash64("want", "text_id"))).mark(texts, F.xxhash64("node", "doc_id")).where("_may")
     texts = texts.join(sources, (texts["node"] == sources["want"]) & texts["doc_id"].eqNullSafe(sources["text_id"])).select("node", "text")
     texts = materialize(texts, "candidate-texts")
     links = verified(tried, _distinct_texts(texts), threshold, shingle)
@@ -277,6 +282,6 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each class stays, that of the least doc_id, in all its columns; repeats of one (doc_id, text) are
     one document and stay together."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep"), "node").distinct()
-    node = F.unhex(F.md5(text_or_empty().cast("binary")))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]) & (node == kept["node"]), "left_semi")
+    gone = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    node = F.unhex(F.md5(text_or_empty().cast("string").cast("binary")))
+    return rows_without(docs, {"_id": F.col("doc_id").cast("long"), "_node": node}, gone)
