@@ -2,8 +2,7 @@
 
 A byte goes if a string of ``LENGTH`` bytes over it starts earlier somewhere (smaller doc_id, or the same document and an
 earlier start). The suffix order is built column by column, one symbol of each member a round, as the Burrows-Wheeler
-transform of a whole collection, with a mark for a common prefix of ``LENGTH`` bytes between neighbours
-(``collection_order``). Built over all bytes that costs a pass over everything for each column of the longest text, so the
+transform of a whole collection, with the common prefixes of neighbours, up to ``LENGTH`` bytes (``collection_order``). Built over all bytes that costs a pass over everything for each column of the longest text, so the
 collections are cut first:
 
 1. Each string of LENGTH bytes has an anchor: its least GRAM-byte string by hash, the leftmost of equals. Successive
@@ -13,8 +12,9 @@ collections are cut first:
    shuffle, so a passage that a third of all documents share leaves one row a task slice.
 3. An anchor with one distinct segment is done. For the others the bytes are fetched, and each is trimmed to the longest
    flanks of its anchor that another one has too; those that come out under LENGTH are done. The rest are the documents of
-   the collections, whose order is built column-wise, in files read and written in sequence; common prefixes follow from it.
-4. Removed spans join their documents, and one pass gives the kept bytes' digest.
+   the collections, whose order and common prefixes are built column-wise, in files read and written in sequence.
+4. Removed spans join their documents, and one pass gives the kept bytes' digest. Documents without any (or, in step 3,
+   without a segment to fetch) stay where they are: a map of bits tells them.
 
 Defined cases: a null text is empty; a text under LENGTH bytes keeps all; repeated rows (same doc_id and text) count one after
 another, so all but one go whole, if they have LENGTH bytes; different texts of the same doc_id come in order of a hash; a
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, flat_bytes, materialize, mix64, slices, table, text_or_empty, tidy
+from .common import Slots, SpanHasher, flat_bytes, materialize, mix64, slices, table, text_or_empty, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -137,22 +137,23 @@ def _cut(length: int, gram: int, many: bool):
     return tidy(run)
 
 
-def _same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the strings of ``length`` bytes (8 at least) at a and at b are equal, pair by pair; bytes stay in the buffer."""
-    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
-    same = np.arange(len(a))
-    for k in [*range(0, length - 7, 8), length - 8]:
-        same = same[words[a[same] + k] == words[b[same] + k]]
-    out = np.zeros(len(a), bool)
-    out[same] = True
-    return out
-
-
-def _by_symbol(symbol: np.ndarray) -> tuple[np.ndarray, int]:
-    """Of every place of a transform, its rank by (symbol, place); and the number of end marks, which come first."""
+def _by_symbol(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places of a transform by (symbol, place), every place's rank there, and the number of end marks, which come first."""
+    order = np.argsort(symbol, kind="stable")
     rank = np.empty(len(symbol), np.int64)
-    rank[np.argsort(symbol, kind="stable")] = np.arange(len(symbol))
-    return rank, int(np.count_nonzero(symbol == 0))
+    rank[order] = np.arange(len(symbol))
+    return order, rank, int(np.count_nonzero(symbol == 0))
+
+
+def _least_between(prefix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """min(prefix[low + 1 .. high]) of every pair of places low < high."""
+    if not len(low):
+        return prefix[:0]
+    order = np.argsort(low)  # so that what lies between two ranges is read once
+    bounds = np.stack((low[order] + 1, high[order] + 1), 1).ravel()
+    out = np.empty(len(low), prefix.dtype)
+    out[order] = np.minimum.reduceat(np.append(prefix, prefix[-1:]), bounds)[::2]
+    return out
 
 
 def collection_order(members: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,10 +161,12 @@ def collection_order(members: list[bytes], length: int = LENGTH) -> tuple[np.nda
     ``length`` bytes joins each to the one before.
 
     Round j puts the suffix of j symbols of every member that has them into the collection's Burrows-Wheeler transform (each
-    suffix's preceding symbol, in order of the suffixes). Where it goes follows from the transform alone: behind the
-    suffixes that start with a smaller symbol, and behind as many of its own symbol's as occur before its parent's place.
-    The transform is a file that a round reads in sequence while it writes the next one. Walking the finished transform
-    back from the members' ends names its suffixes; one more pass marks the neighbours with a common prefix.
+    suffix's preceding symbol, in order of the suffixes) and into the table of common prefixes (of each suffix with the one
+    before, up to ``length``). Where it goes follows from the transform alone: behind the suffixes that start with a smaller
+    symbol, and behind as many of its own symbol's as occur before its parent's place. Its common prefix with a neighbour that
+    starts with the same symbol is one longer than that of the two parents, the least in the table between them; besides the
+    new suffixes only those right behind one change. Both are files that a round reads in sequence while it writes the
+    next ones. Walking the finished transform back from the members' ends names its suffixes.
     """
     count = len(members)
     sizes = np.array([len(m) for m in members])
@@ -174,26 +177,37 @@ def collection_order(members: list[bytes], length: int = LENGTH) -> tuple[np.nda
     code = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)
     code[used] = np.arange(1, len(used) + 1)  # 0: nothing precedes
     symbols = code[data]
+    common = np.uint8 if length < 256 else np.int32
     with tempfile.TemporaryDirectory() as folder:
-        names = [os.path.join(folder, f"transform{k}") for k in (0, 1)]
+        names = [[os.path.join(folder, f"{what}{k}") for what in ("transform", "prefixes")] for k in (0, 1)]
         live = place = np.arange(count)
-        symbols[ends - 1].tofile(names[0])
+        new, prefix = symbols[ends - 1], np.zeros(count, common)
         for r in range(1, int(sizes.max()) + 1):
-            old = np.fromfile(names[(r - 1) & 1], code.dtype)
-            rank, done = _by_symbol(old)
+            for x, name in zip((new, prefix), names[(r - 1) & 1]):
+                x.tofile(name)
+            old, before = (np.fromfile(name, kind) for name, kind in zip(names[(r - 1) & 1], (code.dtype, common)))
+            by_symbol, rank, done = _by_symbol(old)
             keep = sizes[live] >= r
             live, place = live[keep], place[keep]
             goes = count + rank[place] - done
             order = np.argsort(goes)
-            live, place = live[order], goes[order]
-            fresh = np.zeros(len(old) + len(live), bool)
+            live, parent, place = live[order], place[order], goes[order]
+            fresh = np.zeros(len(old) + len(live) + 1, bool)
             fresh[place] = True
-            new = np.empty(len(fresh), code.dtype)
-            new[~fresh] = old
+            new = np.empty(len(fresh) - 1, code.dtype)
+            new[~fresh[:-1]] = old
             left = sizes[live] - r - 1
             new[place] = np.where(left >= 0, symbols[np.maximum(begin[live] + left, 0)], 0)
-            new.tofile(names[r & 1])
-    rank, done = _by_symbol(new)
+            prefix = np.zeros(len(new), common)
+            prefix[~fresh[:-1]] = before
+            at = rank[parent]
+            above = by_symbol[np.maximum(at - 1, 0)]
+            same = (at > 0) & (old[above] == old[parent])
+            prefix[place[same]] = np.minimum(_least_between(before, above[same], parent[same]), length - 1) + 1
+            below = by_symbol[np.minimum(at + 1, len(old) - 1)]
+            same = (at + 1 < len(old)) & (old[below] == old[parent]) & ~fresh[place + 1]
+            prefix[place[same] + 1] = np.minimum(_least_between(before, parent[same], below[same]), length - 1) + 1
+    _, rank, done = _by_symbol(new)
     member, size = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32)
     live = place = np.arange(count)  # the empty suffixes come first, by member
     member[:count] = live
@@ -202,13 +216,7 @@ def collection_order(members: list[bytes], length: int = LENGTH) -> tuple[np.nda
         live, place = live[keep], count + rank[place[keep]] - done
         member[place], size[place] = live, r
     long_ = np.flatnonzero(size >= length)
-    member, size = member[long_], size[long_]
-    start = sizes[member] - size
-    joined = np.zeros(len(long_), bool)
-    near = np.flatnonzero(np.diff(long_) == 1) + 1
-    at = begin[member] + start
-    joined[near] = _same_prefix(data, at[near], at[near - 1], length)
-    return member, start, joined
+    return member[long_], sizes[member[long_]] - size[long_], prefix[long_] >= length
 
 
 def _extent(group: np.ndarray, flank: list[bytes], width: int) -> np.ndarray:
@@ -371,16 +379,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
     one = read.select("doc", "tie", "text")
     if many:
         one = one.dropDuplicates(["doc", "tie"])
+    key = F.xxhash64("doc", "tie")
+    one = Slots(marked.where("NOT gone").select(key).distinct()).mark(one, key).where("_may")
     fetched = one.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(
         _fetch, "anchor long, doc long, tie long, start int, place int, data binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_collections(length, gram), _SPAN_DDL)
-    spans = marked.where("gone").select("doc", "tie", "start", "bytes").unionByName(found)
+    spans = marked.where("gone").select("doc", "tie", "start", "bytes").unionByName(materialize(found, "spans"))
     by_doc = spans.groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("bytes").alias("sizes"))
     texts = read.withColumn("copies", F.lit(1).cast("long"))
     if many:
         texts = texts.groupBy("doc", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    joined = texts.join(by_doc, ["doc", "tie"], "left").select("doc_id", "text", "copies", "starts", "sizes")
+    texts = Slots(spans.select(key).distinct()).mark(texts, key)
+    whole = texts.where("NOT _may").select("doc_id", "text", "copies", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("sizes"))
+    cut_ = texts.where("_may").join(by_doc, ["doc", "tie"], "left").select("doc_id", "text", "copies", "starts", "sizes")
+    joined = whole.unionByName(cut_)
     return joined.mapInArrow(_kept(length, with_text), _RESULT_DDL + (", kept binary" if with_text else ""))
 
 
