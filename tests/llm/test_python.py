@@ -106,6 +106,31 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_uneven_counts_of_shingles(spark):
+    """Texts of the same two halves, one or the other repeated 200 times: their sets are alike, so each pair is linked."""
+    rng = random.Random(31)
+    pairs = []
+    for g in range(10):
+        first, second = prose(rng, 60, 4000), prose(rng, 60, 4000)
+        pairs += [(2 * g, " ".join([first] * 200 + [second])), (2 * g + 1, " ".join([first] + [second] * 200))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs(spark, pairs)).collect()}
+    assert got == brute_classes(pairs) == {i: i - i % 2 for i in range(20)}
+
+
+def test_band_keys_follow_from_sketches():
+    rng = random.Random(32)
+    base = prose(rng, 80, 4000).split()
+    texts = pa.array([" ".join(base[:-k] + prose(rng, k, 4000).split()) for k in range(1, 30)])
+    keys, sketch = near_dedup.sketches(texts)
+    table_ = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(texts), -1)
+    assert table_.shape[1] == near_dedup.REGISTERS + near_dedup.BANDS * near_dedup.ROWS
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = [b for b in range(near_dedup.BANDS) if keys[i][b] == keys[j][b]]
+            if shared:
+                assert near_dedup.first_shared(table_[[i]], table_[[j]], near_dedup.BANDS, near_dedup.ROWS)[0] == shared[0]
+
+
 def test_close_pairs_are_all_close_pairs():
     rng = np.random.default_rng(4)
     group = np.sort(np.concatenate((rng.integers(0, 40, 150), np.full(90, 50))))
@@ -244,7 +269,7 @@ def test_lattices_sum_over_all_segmentations():
 def test_lm_scores(spark):
     rng = random.Random(5)
     pairs = [(i, prose(rng, rng.randrange(1, 60)) + " Ünï\x0b x\x1fy ") for i in range(60)] + [(60, None), (61, ""), (62, "  "), (63, "w" * 3000), (None, "a b"), (7, "again")]
-    got = lm_scoring.lm_scores(docs(spark, pairs).repartition(3), lm_scoring.default_vocabulary(), block_docs=16).collect()
+    got = lm_scoring.lm_scores(docs(spark, pairs).repartition(3), lm_scoring.default_vocabulary(), block_bytes=1500).collect()
     assert len(got) == len(pairs)
     held = lambda d: zlib.crc32(("null" if d is None else str(d)).encode()) % 5 == 1
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) + [None]
@@ -448,3 +473,102 @@ def test_every_labelled_language_is_known(spark):
     documents = spark.createDataFrame([(g, f"s{g}", say(g)) for g in range(40)], "doc_id long, source string, text string")
     got = language_id.identify(language_id.of_documents(documents), model).collect()
     assert {r.id: (r.language, r.accepted) for r in got} == {g: (f"l{g:02d}", True) for g in range(40)}
+
+
+def brute_posteriors(model_rows, items, trust=0.9, smoothing=20.0):
+    """The fused posterior of every item, step by step from the definitions: (host, domain, suffix, declared, text) in."""
+
+    def grams(text):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        framed = b" " + bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in low) + b" "
+        return [(int.from_bytes(framed[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> (32 - language_id.BITS) for i in range(len(framed) - 2) if framed[i + 1] != 32]
+
+    names = sorted({lang for lang, _ in model_rows})
+    size = 1 << language_id.BITS
+    counts = {x: {} for x in names}
+    for lang, text in model_rows:
+        for g in grams(text):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    mass = {x: sum(counts[x].values()) + 0.5 * size for x in names}
+    known = len(model_rows)
+    prior = [0.999 * sum(lang == x for lang, _ in model_rows) / known for x in names] + [0.001]
+    dims = len(names) + 1
+
+    def normal(logs):
+        out = np.exp(np.array(logs) - max(logs))
+        return out / out.sum()
+
+    own, by_text, share, wide = [], [], {}, {}
+    for host, domain, suffix, declared, text in items:
+        found = grams(text or "")
+        weigh = min(len(found), 4 * math.sqrt(len(found))) / max(len(found), 1)
+        logs = [weigh * sum(math.log((counts[x].get(g, 0) + 0.5) / mass[x]) for g in found) for x in names] + [-weigh * len(found) * math.log(size)]
+        if declared in names:
+            logs = [v + math.log(trust if x == declared else (1 - trust) / (dims - 1)) for v, x in zip(logs, [*names, "und"])]
+        own.append(logs if found else None)
+        by_text.append(normal([v + math.log(p) for v, p in zip(logs, prior)]) if found else np.zeros(dims))
+        share[host, domain, suffix] = share.get((host, domain, suffix), 0) + by_text[-1]
+    everywhere = sum(share.values())
+    whole = (everywhere + smoothing / dims) / (everywhere.sum() + smoothing)
+
+    def smooth(inner, outer):
+        return (inner + smoothing * outer) / (inner.sum() + smoothing)
+
+    out = []
+    for (host, domain, suffix, _, _), logs, mine in zip(items, own, by_text):
+        if logs is None:
+            out.append(None)
+            continue
+        speaks = np.array([smoothing if language_id.SUFFIXES.get(suffix) == x else 0.0 for x in [*names, "und"]])
+        p1 = smooth(sum(v for (_, _, s), v in share.items() if s == suffix) + speaks, whole)
+        p2 = smooth(sum(v for (_, d, s), v in share.items() if (d, s) == (domain, suffix)), p1)
+        host_ = smooth(np.maximum(share[host, domain, suffix] - mine, 0), p2)
+        out.append(normal([v + math.log(h) for v, h in zip(logs, host_)]))
+    return [*names, "und"], out
+
+
+def test_fused_posterior_by_hand(spark):
+    """Language, confidence and acceptance of pages and documents against a recomputation of every step; a very long text too."""
+    rng = random.Random(41)
+    model_rows = [("en" if i % 2 else "de", " ".join(rng.sample((EN if i % 2 else DE).split(), 8))) for i in range(60)]
+    model = language_id.train(spark.createDataFrame([(i, *r) for i, r in enumerate(model_rows)], "key long, lang string, text string"))
+    pages, items = [], []
+    for i in range(60):
+        lang = rng.choice(["en", "de"])
+        text = " ".join(rng.choice((EN if lang == "en" else DE).split()) for _ in range(rng.choice([0, 1, 2, 5, 40])))
+        name, domain, suffix = rng.choice([("a.b.de", "b.de", "de"), ("www.c.co.uk", "co.uk", "uk"), ("x.org", "x.org", "org"), ("y.org", "y.org", "org")])
+        declared = rng.choice([None, "de", "en", "fr"])
+        # As the operator sees it: tags are spaces.
+        pages.append((i, f"https://{name}/{i}", (f'<html lang="{declared}">' if declared else "<html>") + f"<p>{text}</p>"))
+        items.append((name, domain, suffix, declared, "  " + text + " "))
+    long_ = " ".join(rng.choice(EN.split()) for _ in range(200_000))
+    documents = [(100, "s1", long_), (101, "s1", ""), (102, "s2", DE), (103, None, EN), (103, None, EN)]
+    items += [(f"source:{s or ''}", "source", "", None, t) for _, s, t in documents]
+    frame = language_id.of_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).unionByName(
+        language_id.of_documents(spark.createDataFrame(documents, "doc_id long, source string, text string")))
+    names, want = brute_posteriors(model_rows, items)
+    got = sorted(language_id.identify(frame, model).collect(), key=lambda r: r.id)
+    assert len(got) == len(want)
+    for r, p in zip(got, want):
+        if p is None:
+            assert r.language is None and not r.accepted
+        else:
+            assert r.language == names[int(p.argmax())] and r.confidence == pytest.approx(p.max(), abs=1e-4)
+            assert r.accepted == (r.language != "und" and p.max() >= 0.5)
+
+
+def test_full_license_texts_over_line_ends(spark):
+    """Whole notices as license files print them, wrapped at 70 columns, among prose; a third of the words of one is none."""
+    import textwrap
+
+    rng, templates = random.Random(51), [*license_scan.TEMPLATES, *license_scan.TEXTS]
+    pairs, want = [], []
+    for i, (label, text) in enumerate(templates):
+        body = textwrap.fill(text.capitalize().replace(" and ", ", and "), 70)
+        pairs.append((i, prose(rng, 30) + "\n\n" + body + "\n\n" + prose(rng, 30)))
+        want.append(label)
+    long_ = max((t for _, t in templates), key=len).split()
+    pairs.append((1000, prose(rng, 30) + " " + " ".join(long_[-len(long_) // 3 :])))
+    got = {r.doc_id: r for r in license_scan.license_scan(docs(spark, pairs), templates, wrapped=True).collect()}
+    assert all(want[i] in got[i].labels.split(",") and got[i].score == 1.0 for i in range(len(want)))
+    assert got[1000].labels == ""
