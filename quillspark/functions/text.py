@@ -25,7 +25,7 @@ ALWAYS_THINKING = ("qwen3:30b", "qwen3-vl", "phi4-reasoning", "deepseek-r1", "qw
 MAY_THINK = ("qwen3:8b", "qwen3:14b", "qwen3:4b", "qwen3:1.7b", "qwen3:0.6b")
 WEIGHTS = {"accuracy": 0.35, "fluency": 0.30, "style": 0.20, "overall": 0.15}
 TEXT_SPECIFIC_TERMS = ("austen", "wilde", "doyle", "thoreau", "melville", "pride", "prejudice", "dorian", "gray", "scarlet", "walden", "moby", "dick", "ishmael", "watson", "holmes", "wotton", "afghanistan", "laburnum", "persian")
-INVISIBLE = "\u200b\u200c\u200d"
+INVISIBLE = "\u200b\u200c\u200d\u2060"
 
 
 def _replace_all(text: Column, pairs) -> Column:

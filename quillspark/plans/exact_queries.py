@@ -11,7 +11,7 @@ from ..operators import effects, srt, translate
 from ..streaming import state
 from .benchmark_queries import oracle_more
 from .fixtures import oracle, table, view
-from .structure_queries import MARKED, marked
+from .structure_queries import BLOCKS, MARKED, marked
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -38,17 +38,20 @@ over("c15_reduce_content", "reduced", c.reduce_content, "string")
 over("c16_boundary_split", "parts", lambda t: c.boundary_split(t, 3))
 over("z14_overflow_parts", "parts", lambda t: next((b for b in (c.boundary_split(t, n) for n in (2, 3, 4)) if max(map(len, b)) < 2000), c.boundary_split(t, 4)))
 over("c17_speech_chunks", "chunks", lambda t: c.speech_chunks(t, 500))
-over("x2_repetition_loop", "loops", e.has_loop, "boolean")
-over("x21_embed_id", "marked", lambda t: e.embed_id(t, "doc", "distributed"), "string")
-over("x22_embed_spaces", "marked", lambda t: e.embed_spaces(t, "1011"), "string")
+#: An id as sessions have it: 16 hex digits.
+ID = "a3f9c2b8e1d4f6a7"
+add("x2_repetition_loop", lambda s, d: e.apply(docs(s, d).select("doc_id", F.when(e.maybe_loop(F.col("text")), F.col("text")).alias("text")), ["doc_id"], "text", e.has_loop, "loops", "boolean"))
+over("x21_embed_id", "marked", lambda t: e.embed_id(t, ID, "distributed"), "string")
+over("x22_embed_spaces", "marked", lambda t: e.embed_spaces(t, ID), "string")
+over("x22_detect_spaces", "found", lambda t: e.detect_spaces(e.embed_spaces(t, ID)), "string")
 over("x23_speech_text", "spoken", e.speech_text, "string")
-add("x20_detect_id", lambda s, d: e.apply(e.apply(docs(s, d), ["doc_id"], "text", lambda t: e.embed_id(t, "corpus-7", "middle"), "m", "string"), ["doc_id"], "m", e.detect_id, "found", "string"),
-    "SELECT doc_id, 'corpus-7' AS found FROM documents")
-add("z30_detect_mark", lambda s, d: e.apply(e.apply(docs(s, d), ["doc_id"], "text", lambda t: e.embed_id(t, "m"), "m", "string"), ["doc_id"], "m", e.detect_mark, "found", "string"), "SELECT doc_id, 'm' AS found FROM documents")
+FOUND = f"SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN 'SID:{ID}' END AS found FROM documents"
+add("x20_detect_id", lambda s, d: e.apply(docs(s, d), ["doc_id"], "text", lambda t: e.detect_id(e.embed_id(t, ID, "middle")), "found", "string"), FOUND)
+add("z30_detect_mark", lambda s, d: e.apply(docs(s, d), ["doc_id"], "text", lambda t: e.detect_mark(e.embed_id(e.embed_spaces(t, ID), ID, "end")), "found", "string"), FOUND)
 add("x1_technical_spans", lambda s, d: e.apply(table(s, d, "pages"), ["page_id"], "html", lambda t: [f"{a}-{b}:{n}" for a, b, n, _ in e.technical_spans(t)], "spans", "array<string>"))
 add("p4_protect", lambda s, d: e.apply(table(s, d, "pages"), ["page_id"], "html", lambda t: e.protect(t)[0], "protected", "string"))
 add("p5_is_technical", lambda s, d: e.apply(table(s, d, "pages"), ["page_id"], "url", e.is_technical, "technical", "boolean"))
-add("x16_normalise_html", lambda s, d: e.apply(table(s, d, "pages"), ["page_id"], "html", e.normalise_html, "normalised", "string"))
+add("x16_normalise_html", lambda s, d: table(s, d, "pages").select("page_id", e.normalise_html(F.col("html")).alias("normalised")))
 add("p13_p14_reinsert", lambda s, d: e.apply(marked(s, d), ["doc_id"], "marked", lambda t: e.reinsert(t, [(0, 0.0), (1, 0.5), (2, 1.0)]), "placed", "string"))
 add("p15_align", lambda s, d: e.apply(marked(s, d), ["doc_id"], "marked", lambda t: e.align(t, t.replace("[id", "(").replace("e", "E")), "aligned", "string"))
 add("c19_merge_continuations", lambda s, d: e.apply(srt.plain_text(view(s, d, "v_cues")), ["file_id"], "plain", lambda t: [",".join(map(str, g)) for g in c19(t)], "groups", "array<string>"))
@@ -59,7 +62,7 @@ def c19(text):
 
 
 add("c6_chunk_defaults", lambda s, d: c.chunk_text(docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")))
-add("c9_merge_segments", lambda s, d: c.chunk_rows(docs(s, d), 2000).groupBy("doc_id").agg(F.count("*").alias("chunks")).withColumn("chunks", F.col("chunks")))
+add("c9_merge_segments", lambda s, d: e.apply(marked(s, d).select("doc_id", p.split_at(F.col("marked"), p.split_points(F.col("marked"), F.array(*[F.lit(t) for t in eval(BLOCKS)]))).alias("segments")), ["doc_id"], "segments", lambda x: c.merge_segments(list(x), 100), "chunks", "array<string>"))
 add("p16_three_phase", lambda s, d: translate.three_phase(three(s, d)).select("doc_id", "phase"),
     f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 1 WHEN doc_id % 2 = 0 AND doc_id % 3 = 2 THEN 2 ELSE 3 END AS phase FROM ({MARKED})")
 

@@ -53,7 +53,7 @@ FROM {events} WHERE event_type = 'error'""",
     "v_requests": "SELECT event_id, user_id AS client, ts FROM {events}",
     "v_cues": """
 SELECT conv_id AS file_id, turn AS idx, CAST(turn + 1 AS VARCHAR(10)) AS number,
-       turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms, substr(text, 1, 120) AS text
+       turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms, text
 FROM {conversations}""",
     "v_files": """
 SELECT page_id, url AS path,

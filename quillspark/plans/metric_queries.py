@@ -61,9 +61,7 @@ add("w11_remaining", lambda s, d: table(s, d, "documents").select("doc_id", F.ro
 add("e4_elapsed", lambda s, d: table(s, d, "events").groupBy("user_id").agg(m.elapsed_seconds(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).alias("elapsed")), "SELECT user_id, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 6) AS elapsed FROM events GROUP BY 1")
 add("e3_iso_range", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.min(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("first"), F.max(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("last")), "SELECT user_id, min(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS first, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS last FROM events GROUP BY 1")
 add("a25_total_size", lambda s, d: m.total_size(table(s, d, "documents").select(F.col("n_chars").alias("size_bytes"))), "SELECT CAST(sum(n_chars) AS BIGINT) AS total_bytes, round_even(sum(n_chars) / 1048576.0::DOUBLE, 2) AS total_mb FROM documents")
-add("a29_pattern_counts", lambda s, d: z.pattern_counts(ascii_pages(s, d), "html"),
-    "SELECT 'inline_code' AS pattern, CAST(sum(len(regexp_extract_all(h, '`[^`]+`'))) AS BIGINT) AS n FROM p UNION ALL SELECT 'range', CAST(sum(len(regexp_extract_all(h, '(?i)[+-]?\\d+(?:\\.\\d+)?\\s+to\\s+[+-]?\\d+(?:\\.\\d+)?\\s*[A-Z]+\\b'))) AS BIGINT) FROM p UNION ALL SELECT 'identifier', CAST(sum(len(regexp_extract_all(h, '\\b([A-Z]{2,}(?:[/-][A-Z\\d]+)*(?:-[A-Z\\d]+)?|[A-Z]+\\d{3,})\\b'))) AS BIGINT) FROM p",
-    "p AS (SELECT regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g') AS h FROM pages)")
+add("a29_pattern_counts", lambda s, d: z.pattern_counts(table(s, d, "pages"), "page_id", "html"))
 add("x1b_formula_or_currency", lambda s, d: table(s, d, "documents").select("doc_id", z.is_formula(F.expr("CASE doc_id % 5 WHEN 0 THEN 'x_1' WHEN 1 THEN '10.50' WHEN 2 THEN 'price' WHEN 3 THEN 'a + b' ELSE substr(text, 1, 5) END")).alias("formula")),
     "SELECT doc_id, CASE WHEN regexp_matches(v, '[_^\\\\{}]') THEN true WHEN regexp_full_match(v, '\\d+(?:\\.\\d{1,2})?') THEN false WHEN regexp_full_match(v, '[a-zA-Z]+') THEN false ELSE true END AS formula FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x_1' WHEN 1 THEN '10.50' WHEN 2 THEN 'price' WHEN 3 THEN 'a + b' ELSE substr(text, 1, 5) END AS v FROM documents)")
 add("a30_first_error", lambda s, d: m.first_error(table(s, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 9).alias("value"), F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.concat(F.lit("e"), "turn")).alias("error")), "conv_id", "turn"),

@@ -22,13 +22,13 @@ def add(name, query, sql=None, ctes=None):
         ORACLES[name] = oracle_more(ctes, sql) if ctes else oracle(sql)
 
 
-# A text with placeholders: every 40th character of a document's beginning gets one, numbered from doc_id % 3.
-MARKED = "SELECT doc_id, array_to_string(list_transform(range(0, 6), lambda i: substr(text, i * 40 + 1, 40) || CASE WHEN i < 5 THEN '[id' || CAST((i * (1 + doc_id % 2) + CASE WHEN doc_id % 3 = 1 AND i = 2 THEN 1 ELSE 0 END) AS VARCHAR) || ']' ELSE '' END), '') AS marked FROM documents"
+# A whole text with five placeholders, one after each of its first five stretches of 40 characters; numbers vary with doc_id.
+MARKED = "SELECT doc_id, array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN i < 5 THEN substr(text, i * 40 + 1, 40) ELSE substr(text, 201) END || CASE WHEN i < 5 THEN '[id' || CAST((i * (1 + doc_id % 2) + CASE WHEN doc_id % 3 = 1 AND i = 2 THEN 1 ELSE 0 END) AS VARCHAR) || ']' ELSE '' END), '') AS marked FROM documents"
 
 
 def marked(s, d):
     i = lambda k: (F.lit(k) * (1 + F.col("doc_id") % 2) + F.when((F.col("doc_id") % 3 == 1) & (F.lit(k) == 2), 1).otherwise(0)).cast("string")
-    parts = [x for k in range(6) for x in ([F.substring("text", k * 40 + 1, 40)] + ([F.concat(F.lit("[id"), i(k), F.lit("]"))] if k < 5 else []))]
+    parts = [x for k in range(6) for x in ([F.substring("text", k * 40 + 1, 40) if k < 5 else F.expr("substring(text, 201)")] + ([F.concat(F.lit("[id"), i(k), F.lit("]"))] if k < 5 else []))]
     return table(s, d, "documents").select("doc_id", F.concat(*parts).alias("marked"))
 
 
@@ -79,14 +79,14 @@ add("c10_tag_class", lambda s, d: table(s, d, "pages").select("page_id", F.explo
 BLOCKS = "['<p>','</p>','<p>','</p>','<b>','</b>']"
 
 
-def in_blocks(s, d):
-    return marked(s, d).where("doc_id % 2 = 0 AND doc_id % 3 <> 1")
+#: Where numbers run 0 to 4, the second placeholder closes a block and the third opens one; elsewhere no place is safe.
+CUT = f"CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 1 THEN length(array_to_string(({SPLIT})[1:2], '')) + 10 ELSE length(marked) END"
 
 
-add("c7_split_points", lambda s, d: in_blocks(s, d).select("doc_id", F.array_join(p.split_points(F.col("marked"), F.array(*[F.lit(t) for t in eval(BLOCKS)])).cast("array<string>"), ",").alias("points")),
-    f"SELECT doc_id, CAST(length(array_to_string(({SPLIT})[1:2], '')) + 10 AS VARCHAR) AS points FROM ({MARKED}) WHERE doc_id % 2 = 0 AND doc_id % 3 <> 1")
-add("c8_split_segments", lambda s, d: in_blocks(s, d).select("doc_id", F.posexplode(p.split_at(F.col("marked"), p.split_points(F.col("marked"), F.array(*[F.lit(t) for t in eval(BLOCKS)])))).alias("n", "segment")),
-    f"SELECT doc_id, CAST(n AS INT) AS n, segment FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n, segment FROM (SELECT doc_id, 0 AS k, substr(marked, 1, e) AS segment FROM (SELECT *, length(array_to_string(({SPLIT})[1:2], '')) + 10 AS e FROM ({MARKED})) UNION ALL SELECT doc_id, 1, substr(marked, e + 1) FROM (SELECT *, length(array_to_string(({SPLIT})[1:2], '')) + 10 AS e FROM ({MARKED}))) WHERE regexp_matches(segment, '\\S') AND doc_id % 2 = 0 AND doc_id % 3 <> 1)")
+add("c7_split_points", lambda s, d: marked(s, d).select("doc_id", F.array_join(p.split_points(F.col("marked"), F.array(*[F.lit(t) for t in eval(BLOCKS)])).cast("array<string>"), ",").alias("points")),
+    f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 1 THEN CAST({CUT} AS VARCHAR) ELSE '' END AS points FROM ({MARKED})")
+add("c8_split_segments", lambda s, d: marked(s, d).select("doc_id", F.posexplode(p.split_at(F.col("marked"), p.split_points(F.col("marked"), F.array(*[F.lit(t) for t in eval(BLOCKS)])))).alias("n", "segment")),
+    f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS n, segment FROM (SELECT doc_id, 0 AS k, substr(marked, 1, {CUT}) AS segment FROM ({MARKED}) UNION ALL SELECT doc_id, 1, substr(marked, {CUT} + 1) FROM ({MARKED})) WHERE regexp_matches(segment, '\\S')")
 
 # chunking
 SENT = "list_filter(list_transform(string_split(regexp_replace(text, '(\\.\"|\\?\"|!\"|\\.''|\\?''|!''|\\.\\)|\\.|!|\\?|:)', '\\1' || chr(1), 'g'), chr(1)), lambda z: " + sql_strip("z") + "), lambda z: z <> '')"

@@ -55,7 +55,7 @@ add("x17_clean_for_detection", lambda s, d: pages(s, d).select("page_id", x.clea
     "SELECT page_id, " + CLEAN.format(e="html || ' ' || url || ' a@b.c'") + " AS cleaned FROM pages")
 add("x18_sample_for_detection", lambda s, d: docs(s, d).select("doc_id", x.sample_for_detection(F.col("text")).alias("sample")),
     "SELECT doc_id, CASE WHEN length(text) < 50 THEN NULL WHEN length(text) > 10000 THEN substr(text, 1, 3333) || ' ' || substr(text, length(text) // 2 - 1666 + 1, 3332) || ' ' || substr(text, length(text) - 3332, 3333) ELSE text END AS sample FROM documents")
-add("x20_strip_invisible", lambda s, d: docs(s, d).select("doc_id", x.strip_invisible(F.replace("text", F.lit("e"), F.lit("e\u200b\u200d"))).alias("stripped"), x.has_invisible(F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit("\u200c")).otherwise(""))).alias("marked")),
+add("x20_strip_invisible", lambda s, d: docs(s, d).select("doc_id", x.strip_invisible(F.replace("text", F.lit("e"), F.lit("e\u200b\u2060\u200d"))).alias("stripped"), x.has_invisible(F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit("\u200c")).otherwise(""))).alias("marked")),
     "SELECT doc_id, text AS stripped, doc_id % 2 = 0 AS marked FROM documents")
 add("x38_br_to_newline", lambda s, d: pages(s, d).select("page_id", x.br_to_newline(F.col("html")).alias("plain")),
     "SELECT page_id, regexp_replace(regexp_replace(html, '<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS plain FROM pages")

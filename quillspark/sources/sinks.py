@@ -97,9 +97,9 @@ def visual_length(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(ch) in "WF" else 0 if unicodedata.combining(ch) else 1 for ch in text)
 
 
-def markdown_table(rows: DataFrame, most: int = 1000) -> str:
-    """A report of a few rows as a padded table."""
-    header, body = rows.columns, [["" if v is None else str(v) for v in r] for r in rows.limit(most).collect()]
+def markdown_table(rows: DataFrame) -> str:
+    """A report as a padded table; all its rows go through the driver, one a model, language or run."""
+    header, body = rows.columns, [["" if v is None else str(v) for v in r] for r in rows.collect()]
     wide = [max([visual_length(x) for x in col] + [3]) for col in zip(header, *body)]
     line = lambda cells: "| " + " | ".join(x + " " * (w - visual_length(x)) for x, w in zip(cells, wide)) + " |"
     return "\n".join([line(header), "| " + " | ".join("-" * w for w in wide) + " |", *map(line, body)])

@@ -41,10 +41,7 @@ def test_splitters_keep_all_words():
         assert "".join("".join(parts).split()) == "".join(text.split())
     assert all(c.count_by_ratio(p) <= 40 for p in c.split_long(text, 40))
     assert c.split_long("Aaaa. Bbbb. Cccc.", 3) == ["Aaaa. Bbbb.", "Cccc."] and c.split_long("Aaaa. Bbbb. Cccc.", 3, compat=True) == ["Aaaa.Bbbb.", "Cccc."]
-    first, second = c.retry_split(text)
-    assert first.endswith(".") and (first + " " + second).split() == text.split()
-    assert c.retry_split("a.\nb\nc.\nd")[0].endswith(".")
-    assert c.boundary_split("x" * 50, 3) == ["x" * 25, "x" * 25]
+    assert "".join("".join(c.retry_split(text)).split()) == "".join(text.split())
     assert c.reduce_content("short") == "short" and len(c.reduce_content(text)) <= int(len(text) * 0.6)
 
 
@@ -117,13 +114,22 @@ def test_placement():
 
 
 def test_marks():
+    sid = "a3f9c2b8e1d4f6a7"
     for where in ("start", "end", "middle", "distributed"):
-        assert e.detect_id(e.embed_id("some words to hide in", "id-é", where)) == "id-é"
-    assert e.detect_id("none") is None
-    assert e.detect_spaces(e.embed_spaces("a b c d e", "1010"), 4) == "1010"
-    assert e.detect_mark(e.embed_id("x", "m")) == "m" and e.detect_mark("a b") is None
+        assert e.detect_id(e.embed_id("some words to hide in", sid, where)) == f"SID:{sid}"
+    places = lambda text, where: [i for i, ch in enumerate(e.embed_id(text, sid, where)) if ch in e.ZERO + e.ONE][0]
+    assert [places("one two three four.", w) for w in ("start", "end", "middle")] == [3, 18, 13]
+    assert places("oneword", "start") == places("oneword", "middle") == places("oneword", "distributed") == 7 and places("aa bbbbbbbb", "middle") == 2
+    marked = e.embed_id("a b c d e f g h", sid, "distributed").split(" ")
+    assert [len(w) > 1 for w in marked] == [False, False, True, False, True, False, True, False] and [len(w) - 1 for w in marked if len(w) > 1] == [53, 53, 54]
+    assert e.embed_id("  ", sid) == "  " and e.detect_id("none") is None
+    assert e.detect_id("".join(f"{ord(ch):08b}" for ch in "hello").translate({48: e.ZERO, 49: e.ONE})) is None  # bits that spell no id
+    words = " ".join(f"w{i}" for i in range(40))
+    spaced = e.embed_spaces(words, sid)
+    assert spaced.split() == words.split() and spaced.count("  ") == f"{0xa3f9c2b8:b}".count("1") and e.detect_spaces(spaced) == "SID-a3f9c2b8"
+    assert e.embed_spaces("a  b " * 40, sid) == "a  b " * 40 and e.embed_spaces("a " * 31 + "b", sid) == "a " * 31 + "b" and e.detect_spaces("a b") is None
+    assert e.detect_mark(spaced) == "SID-a3f9c2b8" and e.detect_mark(e.embed_id(spaced, sid)) == f"SID:{sid}" and e.detect_mark("a b") is None
     assert e.speech_text("“A”\u0000 —  é…") == '"A" - é...'
-    assert e.normalise_html("<p>a\n  b</p>\n<pre>x\n y</pre>") == "<p>a b</p>\n<pre>x\n y</pre>"
 
 
 def test_subtitle_round_trip(spark):
@@ -141,3 +147,68 @@ def test_subtitle_round_trip(spark):
     parsed = srt.parse(srt.rebuild(cues.where("text <> ''")).withColumnRenamed("srt", "content")).collect()
     assert [r.text for r in sorted(parsed, key=lambda r: int(r.number))] == ["Hi", "two\nlines", "x" * 300, "y" * 300, "end"]
     assert srt.merge_continuations(["I go", "to town.", "You stay", "I know"]) == [[0, 1], [2, 3]]
+
+
+def test_html_white_space(spark):
+    from pyspark.sql import functions as F
+
+    pages = {
+        "<p>a\n  b</p>\n<pre>x\n y</pre>": "<p>a b</p>\n<pre>x\n y</pre>",
+        "<p>a</p><p>b</p>": "<p>a</p>\n<p>b</p>\n",
+        "<ul><li>x</li> <li>y</li></ul>z": "<ul><li>x</li>\n<li>y</li>\n</ul>\nz",
+        "<TD>a\r\nb\rc</TD>  <nav>n</nav>": "<TD>a b c</TD>\n<nav>n</nav>\n",
+        "a<br/>\n  b  c<BR >d": "a<br/> b c<BR >d",
+        "<style>p  {\n}</style><code>i  = 1</code> <CODE>a  b</code>": "<style>p  {\n}</style><code>i  = 1</code> <CODE>a  b</code>",
+        "": "",
+    }
+    rows = spark.createDataFrame(list(pages.items()) + [(None, None)], "html string, want string")
+    for r in rows.select("want", e.normalise_html(F.col("html")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_splits_as_specified():
+    assert c.retry_split("abc. " * 20) == (("abc. " * 10).strip(), ("abc. " * 10).strip())
+    assert c.retry_split("x" * 265, 0.503) == ("x" * 133, "x" * 132)
+    assert c.retry_split(" \n ") == (" \n ", "")
+    lines = [f"line {i}" + ("." if i in (7, 9, 14) else "") for i in range(20)]
+    assert c.retry_split("\n".join(lines)) == ("\n".join(lines[:8]), "\n".join(lines[8:]))
+    plain = [f"line {i}" for i in range(7)]
+    assert c.retry_split("\n".join(plain)) == ("\n".join(plain[:3]), "\n".join(plain[3:]))
+    assert c.boundary_split("x" * 50, 3) == ["x" * 25, "x" * 12, "x" * 13]
+    assert c.boundary_split("x" * 90, 3) == ["x" * 45, "x" * 22, "x" * 23]
+    assert c.boundary_split("ab cd. " * 60, 3) == [("ab cd. " * 60)[k : k + 140].strip() for k in (0, 140, 280)]
+    assert c.boundary_split("", 3) == [] and c.boundary_split("", 1) == [""]
+
+
+def test_segments_are_merged():
+    """Against a fold written out: sums of counts, no separators, an oversize one by itself."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(30):
+        segments = ["".join(rng.choice("ab. ") for _ in range(rng.choice([4, 40, 90, 400]))) + "." for _ in range(12)]
+        want, total = [], None
+        for s in segments:
+            n = c.count_by_ratio(s)
+            if n > 50:
+                want, total = want + c.split_long(s, 50), None
+            elif total is not None and total + n <= 50:
+                want[-1], total = want[-1] + s, total + n
+            else:
+                want, total = want + [s], n
+        assert c.merge_segments(segments, 50) == want
+    assert c.merge_segments([], 50) == []
+
+
+def test_pattern_counts(spark):
+    from quillspark.operators import lookups
+
+    texts = ["use `a` and `b` at 10 Mbps", "```x\n`y`\n``` $$z$$ MAX1482", "plain", None, "&lt;p&gt;x&lt;/p&gt; costs $5$ or $x_1$"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.pattern: r.n for r in lookups.pattern_counts(rows, "id", "text").collect()}
+    want = {"total": 0}
+    for t in texts:
+        for _, _, name, _ in e.technical_spans(t or ""):
+            want[name] = want.get(name, 0) + 1
+            want["total"] += 1
+    assert got == want and {"inline_code", "code_block", "html_entity_block", "technical_id", "latex_inline"} <= set(got)
