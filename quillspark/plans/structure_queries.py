@@ -68,8 +68,8 @@ add("p12_relative_positions", lambda s, d: marked(s, d).select("doc_id", F.posex
 add("p22_fix_mutated", lambda s, d: marked(s, d).select("doc_id", p.fix_mutated(F.replace("marked", F.lit("[id"), F.lit("[ID ")), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(F.concat(F.lit("[ID "), i.cast("string"), F.lit("]")).alias("mutated"), p.create(i).alias("right")))).alias("fixed")),
     f"SELECT doc_id, marked AS fixed FROM ({MARKED})")
 TOKENS = "regexp_extract_all(html, '<[^>]+>|[^<]+|<')"
-add("p3_preserve_tags", lambda s, d: table(s, d, "pages").select("page_id", p.preserve_tags(F.col("html")).alias("x")).select("page_id", "x.marked", F.size("x.tags").alias("n_tags"), (p.restore_tags(F.col("x.marked"), F.col("x.tags")) == F.lit("")).alias("empty")),
-    f"""SELECT page_id, string_agg(CASE WHEN k THEN '[id' || (g2) || ']' ELSE t END, '' ORDER BY g) AS marked, CAST(count(*) FILTER (k) AS INT) AS n_tags, false AS empty FROM (
+add("p3_preserve_tags", lambda s, d: table(s, d, "pages").select("page_id", "html", p.preserve_tags(F.col("html")).alias("x")).select("page_id", "x.marked", F.size("x.tags").alias("n_tags"), (p.restore_tags(F.col("x.marked"), F.col("x.tags")) == F.col("html")).alias("restored")),
+    f"""SELECT page_id, string_agg(CASE WHEN k THEN '[id' || (g2) || ']' ELSE t END, '' ORDER BY g) AS marked, CAST(count(*) FILTER (k) AS INT) AS n_tags, true AS restored FROM (
       SELECT page_id, g, k, string_agg(t, '' ORDER BY n) AS t, (count(*) FILTER (k) OVER (PARTITION BY page_id ORDER BY g)) - 1 AS g2 FROM (
         SELECT *, sum(b) OVER (PARTITION BY page_id ORDER BY n) AS g FROM (SELECT *, CASE WHEN k IS DISTINCT FROM lag(k) OVER (PARTITION BY page_id ORDER BY n) THEN 1 ELSE 0 END AS b FROM (
           SELECT *, regexp_full_match(t, '(?s)<[^>]+>') OR regexp_matches({sql_strip('t')}, '(?i)^[\\d.\\-–—)(\\sIVXLCDM]*$') AS k FROM (SELECT page_id, unnest({TOKENS}) AS t, generate_subscripts({TOKENS}, 1) AS n FROM pages))))
