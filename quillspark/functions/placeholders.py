@@ -87,9 +87,15 @@ def preserve_tags(html: Column) -> Column:
 
 
 def restore_tags(text: Column, tags: Column) -> Column:
-    """Highest number first, every occurrence."""
-    order = F.sequence(F.size(tags) - 1, F.lit(0), F.lit(-1))
-    return F.when(F.size(tags) > 0, F.aggregate(order, text, lambda t, i: F.replace(t, create(i), F.element_at(tags, i + 1)))).otherwise(text)
+    """Highest number first, every occurrence. Where neither a tag nor the text between placeholders has a ``[``, no
+    replacement makes a new placeholder, and one pass over the pieces does the same."""
+    found = F.regexp_extract_all(text, F.lit(PATTERN), 0)
+    tag = lambda p: F.try_element_at(tags, F.regexp_extract(p, PATTERN, 1).try_cast("int") + 1)
+    known = lambda p: create(F.regexp_extract(p, PATTERN, 1).try_cast("int")) == p
+    at_once = _rejoin(text, F.transform(found, lambda p: F.coalesce(F.when(known(p), tag(p)), p)))
+    one_by_one = F.aggregate(F.sequence(F.size(tags) - 1, F.lit(0), F.lit(-1)), text, lambda t, i: F.replace(t, create(i), F.element_at(tags, i + 1)))
+    plain = ~F.contains(remove_all(text), F.lit("[")) & ~F.exists(tags, lambda t: F.contains(t, F.lit("[")))
+    return F.when(F.size(tags) <= 0, text).when(plain, at_once).otherwise(one_by_one)
 
 
 def missing(text: Column, expected: Column) -> Column:

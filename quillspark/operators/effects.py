@@ -48,6 +48,19 @@ def in_batches(rows: DataFrame, order: str, size: int = 5) -> DataFrame:
     return rows.withColumn("batch", F.floor(F.col(order) / size))
 
 
+def progress_events(updates: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What is pushed of ``updates``: those of known jobs, with the job's own ``stats`` where they bring none."""
+    known = jobs.select("translation_id", F.col("stats").alias("job_stats"))
+    made = updates.join(known, "translation_id").withColumn("stats", F.coalesce("stats", "job_stats"))
+    return made.select(*updates.columns)
+
+
+def last_translations(updates: DataFrame, jobs: DataFrame, order: str) -> DataFrame:
+    """The newest model answer of every known job that had one, for a view that is opened again."""
+    answers = updates.where("log_type = 'llm_response' AND response <> ''").groupBy("translation_id").agg(F.max_by("response", order).alias("last_translation"))
+    return answers.join(jobs.select("translation_id"), "translation_id")
+
+
 def push_progress(stream: DataFrame, emit: Callable[[dict], None], checkpoint: str, every: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """After each micro-batch, its number of rows goes to ``emit``. The checkpoint folder is what a restart goes on
     from: a batch that was done is not done again."""

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text
-from ..operators import jobs, metrics, srt
+from ..operators import effects, jobs, metrics, srt
 from ..sources import readers, sinks
 from .benchmark_queries import oracle_more
 from .fixtures import oracle, table, view
@@ -134,3 +134,51 @@ def runs(s, d):
 add("s12_s13_dimensions", lambda s, d: readers.language_dimension(s, {"asian": [{"code": "ja", "name": "Japanese", "is_rtl": False}], "other": [{"code": 1, "name": "One", "is_rtl": True}]}).select("code", "category", "is_rtl"),
     "SELECT 'ja' AS code, 'asian' AS category, false AS is_rtl UNION ALL SELECT '1', 'european_major', true")
 add("s6_plain_pages", lambda s, d: table(s, d, "pages").select("page_id", F.length(html_to_text(F.col("html"))).alias("n")), f"SELECT page_id, CAST(length({TEXT}) AS INT) AS n FROM pages")
+
+
+def text_files(s, d):
+    """Texts as files; every seventh is no UTF-8."""
+    data = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("0D0A"))))
+    return table(s, d, "documents").select(F.col("doc_id").alias("file_id"), readers.text_content(data).alias("content"))
+
+
+add("s1_text_source", lambda s, d: text_files(s, d).select("file_id", F.col("content").isNotNull().alias("readable"), F.md5("content").alias("digest")),
+    "SELECT doc_id AS file_id, doc_id % 7 <> 0 AS readable, CASE WHEN doc_id % 7 <> 0 THEN md5(replace(text, chr(13), chr(10)) || chr(10)) END AS digest FROM documents")
+
+
+def reports(s, d):
+    """A report a language, as JSON and back; its prompts are the sources, ranked by their summed lengths."""
+    ranked = table(s, d, "documents").groupBy("lang", "source").agg(F.sum("n_chars").alias("f"))
+    prompt = F.struct(F.col("source").alias("id"), F.lit("s").alias("system_prompt"), F.lit("u").alias("user_prompt"), F.col("f").cast("double").alias("fitness"))
+    rows = ranked.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("f")).alias("down"), "source", prompt.alias("p")))), lambda x: x["p"]).alias("top_prompts"))
+    text = rows.select(F.to_json(F.struct(F.col("lang").alias("run_id"), "top_prompts")).alias("j"))
+    return text.select(F.from_json("j", readers.REPORT_SCHEMA).alias("r")).select("r.*")
+
+
+add("s20_best_prompt", lambda s, d: readers.best_prompt(reports(s, d), 2).select("run_id", "id", "generation", "fitness"),
+    "SELECT lang AS run_id, source AS id, 0 AS generation, CAST(f AS DOUBLE) AS fitness FROM (SELECT lang, source, sum(n_chars) AS f, row_number() OVER (PARTITION BY lang ORDER BY sum(n_chars) DESC, source) AS r FROM documents GROUP BY 1, 2) WHERE r = 2")
+add("k11_markdown_table", lambda s, d: s.createDataFrame([(sinks.markdown_table(by_source(s, d)),)], "page string"),
+    """SELECT '| ' || rpad('source', a, ' ') || ' | ' || rpad('n', b, ' ') || ' |' || chr(10) || '|-' || repeat('-', a) || '-|-' || repeat('-', b) || '-|' || chr(10)
+      || (SELECT string_agg('| ' || rpad(source, a, ' ') || ' | ' || rpad(n, b, ' ') || ' |', chr(10) ORDER BY source) FROM m) AS page
+    FROM (SELECT CAST(greatest(6, max(length(source))) AS INT) AS a, CAST(greatest(1, max(length(n))) AS INT) AS b FROM m)""",
+    "m AS (SELECT source, CAST(count(*) AS VARCHAR) AS n FROM documents GROUP BY 1)")
+
+
+def by_source(s, d):
+    return table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy("source")
+
+
+def updates(s, d):
+    """A chunk's completion as an update; one line in seven belongs to no job, one in three brings its own stats."""
+    line = F.col("l_linenumber")
+    return table(s, d, "lineitem").select(
+        F.when(line == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("translation_id"), line.alias("chunk"),
+        F.when(line % 3 == 0, F.concat(F.lit("u"), line.cast("string"))).alias("stats"),
+        F.when(line % 2 == 0, "llm_response").otherwise("info").alias("log_type"), F.concat(F.lit("r"), line.cast("string")).alias("response"))
+
+
+progress_jobs = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("translation_id"), F.col("o_orderstatus").alias("stats"))
+add("k18_progress_events", lambda s, d: effects.progress_events(updates(s, d), progress_jobs(s, d)).select("translation_id", "chunk", "stats"),
+    "SELECT l_orderkey AS translation_id, l_linenumber AS chunk, CASE WHEN l_linenumber % 3 = 0 THEN 'u' || l_linenumber ELSE o_orderstatus END AS stats FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 7")
+add("k18_last_translation", lambda s, d: effects.last_translations(updates(s, d), progress_jobs(s, d), "chunk"),
+    "SELECT l_orderkey AS translation_id, 'r' || max(l_linenumber) AS last_translation FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 2 = 0 AND l_linenumber <> 7 GROUP BY 1")

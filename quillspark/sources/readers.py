@@ -19,9 +19,15 @@ from ..functions.text import html_to_text
 IMAGES = (".jpg", ".jpeg", ".png", ".gif", ".webp")
 
 
+def text_content(data: Column) -> Column:
+    """UTF-8 text with one kind of line end; null for what is no UTF-8."""
+    return F.regexp_replace(F.try_validate_utf8(data.cast("string")), "\\r\\n?", "\n")
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file: path, content."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    """One row a file: path, content (null where it cannot be read as text, so no chunks come of it). Spark passes over
+    empty files, which have no chunks either."""
+    return read_binary(spark, path).select("path", text_content(F.col("content")).alias("content"))
 
 
 def decode(data: Column) -> Column:
@@ -223,6 +229,10 @@ def run_results(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.posexplode("results").alias("ord", "r")).select("run_id", "ord", "r.*")
 
 
+REPORT_SCHEMA = """run_id string, status string, total_iterations int, completed_iterations int,
+  top_prompts array<struct<id: string, system_prompt: string, user_prompt: string, generation: int, fitness: double>>"""
+
+
 def read_yaml(text: str):
     """YAML if a parser is installed."""
     try:
@@ -248,7 +258,12 @@ def text_dimension(spark: SparkSession, texts: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "id string, title string, author string, year int, content string, style string")
 
 
-def best_prompt(spark: SparkSession, path: str, position: int = 1) -> DataFrame:
-    """The prompt of a rank from a report."""
-    report = spark.read.option("multiLine", True).json(path)
-    return report.select(F.explode("prompts").alias("p")).select("p.*").orderBy(F.desc("fitness")).offset(position - 1).limit(1)
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Optimizer reports, with the ranked ``top_prompts`` as an array."""
+    return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
+
+
+def best_prompt(reports: DataFrame, position: int = 1) -> DataFrame:
+    """The prompt of a rank (1 is the best) of every report; no row where the report ranks fewer."""
+    found = reports.select("run_id", F.try_element_at("top_prompts", F.lit(position)).alias("p")).where("p IS NOT NULL")
+    return found.select("run_id", "p.*").withColumns({"generation": F.coalesce("generation", F.lit(0)), "fitness": F.coalesce("fitness", F.lit(0.0))})

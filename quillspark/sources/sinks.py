@@ -93,13 +93,16 @@ def write_json(rows: DataFrame, folder: str) -> None:
 
 
 def visual_length(text: str) -> int:
-    """Columns on a screen: wide characters take two."""
-    return sum(2 if unicodedata.east_asian_width(ch) in "WF" else 0 if unicodedata.combining(ch) else 1 for ch in text)
+    """Columns on a screen: wide characters and those from U+1F300 on take two."""
+    return sum(1 + (unicodedata.east_asian_width(ch) in "WF" or ch >= "\U0001f300") for ch in text)
 
 
 def markdown_table(rows: DataFrame) -> str:
-    """A report as a padded table; all its rows go through the driver, one a model, language or run."""
-    header, body = rows.columns, [["" if v is None else str(v) for v in r] for r in rows.collect()]
-    wide = [max([visual_length(x) for x in col] + [3]) for col in zip(header, *body)]
-    line = lambda cells: "| " + " | ".join(x + " " * (w - visual_length(x)) for x, w in zip(cells, wide)) + " |"
-    return "\n".join([line(header), "| " + " | ".join("-" * w for w in wide) + " |", *map(line, body)])
+    """A report as a padded table, '' without rows; all its rows go through the driver, one a model, language or run."""
+    body = [["" if v is None else str(v) for v in r] for r in rows.collect()]
+    if not body:
+        return ""
+    wide = [max(map(visual_length, column)) for column in zip(rows.columns, *body)]
+    padded = [[x + " " * (w - visual_length(x)) for x, w in zip(cells, wide)] for cells in (rows.columns, *body)]
+    lines = [f"| {' | '.join(cells)} |" for cells in padded]
+    return "\n".join([lines[0], f"|-{'-|-'.join('-' * w for w in wide)}-|", *lines[1:]])

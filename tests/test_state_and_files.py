@@ -148,3 +148,47 @@ def test_upsert_is_idempotent_and_providers_plug_in(spark):
     assert {r.answer for r in got.collect()} == {"a!", "b!", "c!"}
     items = spark.createDataFrame([(i,) for i in range(4)], "ord long")
     assert optimizer.folds(items, 1, None).where("part = 'test'").count() == 4
+
+
+def test_text_files_and_ranked_prompts(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes("é\r\nx\ry".encode())
+    (tmp_path / "t" / "b.txt").write_bytes(b"\xff")
+    (tmp_path / "t" / "c.txt").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: r.content for r in readers.read_text(spark, str(tmp_path / "t")).collect()}
+    assert got == {"a.txt": "é\nx\ny", "b.txt": None}  # and no row for the empty file
+    report = {"run_id": "r", "top_prompts": [{"id": "p1", "fitness": 2.5, "generation": 3}, {"id": "p2"}]}
+    (tmp_path / "report.json").write_text(json.dumps(report))
+    reports = readers.read_report(spark, str(tmp_path / "report.json"))
+    rank = lambda k: [(r.id, r.generation, r.fitness) for r in readers.best_prompt(reports, k).collect()]
+    assert (rank(1), rank(2), rank(3)) == ([("p1", 3, 2.5)], [("p2", 0, 0.0)], [])
+
+
+def test_table_of_wide_characters(spark):
+    rows = spark.createDataFrame([("日本", None), ("😀", 5)], "a string, bb int")
+    assert sinks.markdown_table(rows) == "| a    | bb |\n|------|----|\n| 日本 |    |\n| 😀   | 5  |"
+    assert sinks.markdown_table(rows.limit(0)) == ""
+
+
+def test_restored_tags_at_once_and_one_by_one(spark):
+    from quillspark.functions import placeholders as p
+
+    rows = [
+        ("a[id0]b[id1][id0]", ["<b>", "</b>"], "a<b>b</b><b>"), ("[id5][id01][id99999999999]", ["<b>"], "[id5][id01][id99999999999]"),
+        ("[id1]", ["x", "[id0]"], "x"), ("[id[id1]]", ["x", "0"], "x"), ("no [id0]", [], "no [id0]"), ("", ["x"], ""),
+    ]
+    df = spark.createDataFrame(rows, "t string, tags array<string>, want string")
+    for r in df.select("want", p.restore_tags(F.col("t"), F.col("tags")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_chunks_inside_a_row_match_the_exact_path(spark):
+    from quillspark.functions import chunking
+
+    texts = ["One. Two is longer. Three? Four! " * 9, "", None, "Alone.", "\n.\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = chunking.chunk_rows(docs, 20).orderBy("doc_id", "chunk_index").collect()
+    for i, text in enumerate(texts):
+        want = chunking.pack(chunking.py_sentences(text or ""), " ", 20)
+        assert [r.content for r in rows if r.doc_id == i] == want
+        assert sum(r.units for r in rows if r.doc_id == i) == len(chunking.py_sentences(text or ""))
