@@ -40,7 +40,7 @@ over("z14_overflow_parts", "parts", lambda t: next((b for b in (c.boundary_split
 over("c17_speech_chunks", "chunks", lambda t: c.speech_chunks(t, 500))
 #: An id as sessions have it: 16 hex digits.
 ID = "a3f9c2b8e1d4f6a7"
-add("x2_repetition_loop", lambda s, d: e.apply(docs(s, d).select("doc_id", F.when(e.maybe_loop(F.col("text")), F.col("text")).alias("text")), ["doc_id"], "text", e.has_loop, "loops", "boolean"))
+add("x2_repetition_loop", lambda s, d: e.apply(docs(s, d).select("doc_id", F.right("text", F.lit(3000)).alias("text")), ["doc_id"], "text", e.has_loop, "loops", "boolean"))
 over("x21_embed_id", "marked", lambda t: e.embed_id(t, ID, "distributed"), "string")
 over("x22_embed_spaces", "marked", lambda t: e.embed_spaces(t, ID), "string")
 over("x22_detect_spaces", "found", lambda t: e.detect_spaces(e.embed_spaces(t, ID)), "string")

@@ -67,11 +67,12 @@ def test_loops():
     assert not e.has_loop("....." * 40) and e.has_loop("not sure. " * 15) and not e.has_loop("")
 
 
-def test_native_filter_lets_loops_pass(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.createDataFrame([("not sure. " * 15,), ("no loop here",)], "t string")
-    assert [r[0] for r in rows.select(e.maybe_loop(F.col("t"))).collect()] == [True, False]
+def test_loops_of_any_length():
+    rng = random.Random(4)
+    for _ in range(300):
+        phrase = "".join(rng.choice("ab c.") for _ in range(rng.randint(1, 85)))
+        text = "".join(rng.choice("abcd e") for _ in range(rng.randint(0, 150))) + phrase * rng.randint(3, 13) + "abc"[: rng.randint(0, 3)]
+        assert e.has_loop(text) == brute_loop(text) == e.has_loop(text[-3000:]), text
 
 
 def test_technical_spans():
