@@ -17,7 +17,7 @@ Equal vectors: a result never needs more than the k + 1 least ids of one vector,
 
 Defined cases: a vector that is null, zero, of other than the most frequent length, or holds a null or non-finite component
 takes no part; so does a null id; repeated ids are candidates of their own, but a query never finds its own id; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. Components that are no floats are taken as doubles, unrounded.
 """
 
 from __future__ import annotations
@@ -69,8 +69,9 @@ class Forest:
 
     @staticmethod
     def lift(x: np.ndarray, bound: float) -> np.ndarray:
-        x = x.astype(np.float64)
-        rest = np.sqrt(np.maximum(0.0, bound * bound - (x * x).sum(1)))
+        """Vectors in units of the longest one, with the component that makes all equally long."""
+        x = x.astype(np.float64) / bound
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))
         return np.column_stack((x, rest)).astype(np.float32)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -86,9 +87,9 @@ class Forest:
 
     def search(self, query: np.ndarray, sizes: np.ndarray, search_k: int) -> list[int]:
         """Leaves of one query (unlifted), nearest margin first, until they hold search_k entries."""
-        lifted = np.append(query.astype(np.float32), np.float32(0))
-        scale = self.bound / (np.linalg.norm(lifted) or 1.0)
-        margins = (self.normals @ (lifted * np.float32(scale)) - self.offsets).tolist()
+        lifted = np.append(query.astype(np.float64) / self.bound, 0.0)
+        lifted /= np.linalg.norm(lifted) or 1.0
+        margins = (self.normals @ lifted.astype(np.float32) - self.offsets).tolist()
         inner = (1 << self.depth) - 1
         queue = [(0.0, t, 0) for t in range(self.trees)]
         found, entries = [], 0
@@ -122,13 +123,13 @@ def _scan(queries: np.ndarray, k: int, length: int):
     return tidy(run)
 
 
-def calibrate(indexed: DataFrame, probes: DataFrame, forest: Forest, sizes: np.ndarray, length: int, k: int, recall: float) -> int:
+def calibrate(indexed: DataFrame, probes: DataFrame, forest: Forest, sizes: np.ndarray, length: int, k: int, recall: float, kind: str = "float") -> int:
     """Least number of entries at which the probes (``id``, ``v``) find ``recall`` of their ``k`` true neighbours on the mean."""
     asked = probes.toArrow()
     if not asked.num_rows:
         return LEAST_K
     queries = _matrix(asked.column("v").combine_chunks(), length)
-    found = indexed.mapInArrow(_scan(queries.astype(np.float64), k + 1, length), "probe long, id long, v array<float>, score double")
+    found = indexed.mapInArrow(_scan(queries.astype(np.float64), k + 1, length), f"probe long, id long, v array<{kind}>, score double")
     order = Window.partitionBy("probe").orderBy(F.desc("score"), "id")
     true = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("probe", "id", "v").toArrow()
     probe, near = true.column("probe").to_numpy(), _matrix(true.column("v").combine_chunks(), length)
@@ -285,7 +286,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
             recall: float = RECALL, probes: int = PROBES, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best found for every row that ``is_query`` (of ``id`` and ``v``)."""
     spark = vectors.sparkSession
-    read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id IS NOT NULL")
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where("id IS NOT NULL")
     lengths = read.where("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -301,7 +303,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     few = indexed.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
     depth = max(0, min(math.ceil(math.log2(rows / leaf)) if rows > leaf else 0, int(math.log2(max(1, len(few) / 8)))))
-    forest = Forest(_matrix(few, length), trees, depth, float(bound))
+    forest = Forest(_matrix(few, length), trees, depth, float(bound) or 1.0)
     counted = indexed.select("v").mapInArrow(_count_leaves(forest, length), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
     sizes = np.zeros(trees << depth, np.int64)
     for r in counted.collect():  # as many rows as the forest has leaves
@@ -310,9 +312,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
     distinct = asked.groupBy("key").agg(F.min("id").alias("id"), F.first("v").alias("v"))
     if search_k is None:
         tried = distinct.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(probes).select("id", "v")
-        search_k = calibrate(indexed, tried, forest, sizes, length, k, recall)
-    routed = distinct.select("id", "v").mapInArrow(_route(forest, sizes, leaf, length, search_k), "group long, part long, leaves array<long>, id long, v array<float>")
-    placed = indexed.mapInArrow(_place(forest, sizes, leaf, length), "group long, part long, leaf long, id long, v array<float>")
+        search_k = calibrate(indexed, tried, forest, sizes, length, k, recall, kind)
+    routed = distinct.select("id", "v").mapInArrow(_route(forest, sizes, leaf, length, search_k), f"group long, part long, leaves array<long>, id long, v array<{kind}>")
+    placed = indexed.mapInArrow(_place(forest, sizes, leaf, length), f"group long, part long, leaf long, id long, v array<{kind}>")
     met = routed.groupBy("group", "part").cogroup(placed.groupBy("group", "part")).applyInPandas(_meet(k + 1), "query long, ids array<long>, scores array<double>")
     best = met.groupBy("query").applyInPandas(_merge(k + 1), "query long, vec_id long, score double")
     leaders = distinct.select("key", F.col("id").alias("query"))

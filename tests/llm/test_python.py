@@ -404,6 +404,21 @@ def test_nearest_is_exact_where_all_leaves_are_taken(spark):
     assert ann.nearest(vectors(spark, [(0, [0.0] * 8)]), F.col("id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_doubles_is_not_rounded(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(10)
+    for unit in (1.0, 1e60):  # beyond a float's range as well
+        rows = [(i, [unit, unit * i * 1e-12, *(unit * rng.normal(size=2)).tolist()]) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, F.col("id") % 20 == 0, k=5).collect()}
+        for q in (0, 20, 40):
+            x = np.array(rows[q][1])
+            scored = sorted((-float((np.array(v) * x).sum()), i) for i, v in rows if i != q)
+            for n, (s, i) in enumerate(scored[:5]):
+                assert got[q, n + 1][0] == i and abs(got[q, n + 1][1] + s) <= 1e-14 * abs(s)
+
+
 def test_nearest_recall(spark):
     from pyspark.sql import functions as F
 
