@@ -12,6 +12,7 @@ from ..streaming import state
 from .benchmark_queries import oracle_more
 from .fixtures import oracle, table, view
 from .structure_queries import BLOCKS, MARKED, marked
+from .text_queries import sql_strip
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,24 +28,60 @@ def docs(s, d):
     return table(s, d, "documents")
 
 
-def over(name, column, function, kind="array<string>"):
-    add(name, lambda s, d: e.apply(docs(s, d), ["doc_id"], "text", function, column, kind))
+def over(name, column, function, kind="array<string>", sql=None):
+    add(name, lambda s, d: e.apply(docs(s, d), ["doc_id"], "text", function, column, kind), sql)
+
+
+def parts_over(name, function, sql):
+    """One row a part that is not empty, from 0."""
+    made = lambda s, d: e.apply(docs(s, d), ["doc_id"], "text", function, "parts", "array<string>")
+    add(name, lambda s, d: made(s, d).select("doc_id", F.posexplode("parts").alias("n", "part")).where("part <> ''"), sql)
 
 
 over("c11_c12_split_long", "pieces", lambda t: c.split_long(t, 100))
 over("c13_force_split", "pieces", lambda t: c.force_split(t, 100))
-over("c14_retry_split", "parts", lambda t: list(c.retry_split(t)))
-over("c15_reduce_content", "reduced", c.reduce_content, "string")
-over("c16_boundary_split", "parts", lambda t: c.boundary_split(t, 3))
+ENDS = """([.!?]["']|\\.\\)|[.!?:])$"""
+parts_over("c14_retry_split", lambda t: list(c.retry_split(t)), f"""
+SELECT doc_id, CAST(n AS INT) AS n, part FROM (
+  SELECT doc_id, unnest([0, 1]) AS n, unnest(CASE WHEN NOT regexp_matches(text, '\\S') THEN [text, '']
+    WHEN len(l) = 1 THEN [{sql_strip("substr(text, 1, length(text) // 2)")}, {sql_strip("substr(text, length(text) // 2 + 1)")}]
+    ELSE [{sql_strip("array_to_string(l[1:place], chr(10))")}, {sql_strip("array_to_string(l[place + 1:], chr(10))")}] END) AS part FROM (
+      SELECT *, coalesce(list_filter(range(greatest(1, len(l) // 2 - 4), least(len(l), len(l) // 2 + 5) + 1), lambda i: regexp_matches({sql_strip("l[i]")}, '{ENDS.replace("'", "''")}'))[1], len(l) // 2) AS place
+      FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))) WHERE part <> ''""")
+over("c15_reduce_content", "reduced", c.reduce_content, "string", f"""
+SELECT doc_id, CASE WHEN goal >= length(text) THEN text WHEN length(sentences) > goal // 2 THEN sentences ELSE substr(text, 1, goal) END AS reduced FROM (
+  SELECT *, regexp_extract(substr(text, 1, goal), '(?s)^(.*(?:{ENDS[:-1].replace("'", "''")}))', 1) AS sentences FROM (
+    SELECT doc_id, text, greatest(200, CAST(floor(length(text) * 0.6::DOUBLE) AS BIGINT)) AS goal FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))""")
+
+
+def cut_sql(rows, left):
+    """The first of ``left`` shares of ``rest`` goes to ``p{left}``."""
+    short = "length(rest) < 100"
+    at = f"CASE WHEN {short} THEN length(rest) // 2 ELSE CAST(floor(length(rest) * (1.0::DOUBLE / {left})) AS BIGINT) END"
+    piece = lambda x: f"CASE WHEN {short} THEN {x} ELSE {sql_strip(x)} END"
+    return f"SELECT * EXCLUDE (rest, place), {piece('substr(rest, 1, place)')} AS p{left}, {piece('substr(rest, place + 1)')} AS rest FROM (SELECT *, {at} AS place FROM ({rows}))"
+
+
+THIRDS = cut_sql(cut_sql("SELECT doc_id, coalesce(text, '') AS rest FROM documents", 3), 2)
+parts_over("c16_boundary_split", lambda t: c.boundary_split(t, 3),
+    f"SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS n, unnest(l) AS part FROM (SELECT doc_id, list_filter([p3, p2, rest], lambda x: x <> '') AS l FROM ({THIRDS}))")
 over("z14_overflow_parts", "parts", lambda t: next((b for b in (c.boundary_split(t, n) for n in (2, 3, 4)) if max(map(len, b)) < 2000), c.boundary_split(t, 4)))
 over("c17_speech_chunks", "chunks", lambda t: c.speech_chunks(t, 500))
 #: An id as sessions have it: 16 hex digits.
 ID = "a3f9c2b8e1d4f6a7"
 add("x2_repetition_loop", lambda s, d: e.apply(docs(s, d).select("doc_id", F.right("text", F.lit(3000)).alias("text")), ["doc_id"], "text", e.has_loop, "loops", "boolean"))
-over("x21_embed_id", "marked", lambda t: e.embed_id(t, ID, "distributed"), "string")
-over("x22_embed_spaces", "marked", lambda t: e.embed_spaces(t, ID), "string")
-over("x22_detect_spaces", "found", lambda t: e.detect_spaces(e.embed_spaces(t, ID)), "string")
-over("x23_speech_text", "spoken", e.speech_text, "string")
+#: The marks of ``SID:`` and the id, by the rule: eight bits a character, U+200C for 0 and U+200D for 1.
+MARKS = "array_to_string(list_transform(string_split('SID:{i}', ''), lambda ch: replace(replace(right(bin(ascii(ch) + 256), 8), '0', chr(8204)), '1', chr(8205))), '')".format(i=ID)
+over("x21_embed_id", "marked", lambda t: e.embed_id(t, ID, "distributed"), "string", f"""
+SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\\S') THEN text WHEN k < 3 THEN text || m ELSE
+  array_to_string(list_transform(range(1, k + 1), lambda i: w[i] || CASE i - 1 WHEN k // 4 THEN substr(m, 1, t) WHEN 2 * k // 4 THEN substr(m, t + 1, t) WHEN 3 * k // 4 THEN substr(m, 2 * t + 1) ELSE '' END), ' ') END AS marked
+FROM (SELECT *, len(w) AS k, length(m) // 3 AS t FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), ' ') AS w, {MARKS} AS m FROM documents))""")
+WIDE = f"SELECT doc_id, CASE WHEN contains(text, '  ') OR len(w) <= 32 THEN text ELSE w[1] || array_to_string(list_transform(range(2, len(w) + 1), lambda i: CASE WHEN i <= 33 AND (0x{ID[:8]} >> (33 - i)) & 1 = 1 THEN '  ' ELSE ' ' END || w[i]), '') END AS marked FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), ' ') AS w FROM documents)".replace(f"0x{ID[:8]}", str(int(ID[:8], 16)))
+over("x22_embed_spaces", "marked", lambda t: e.embed_spaces(t, ID), "string", WIDE)
+over("x22_detect_spaces", "found", lambda t: e.detect_spaces(e.embed_spaces(t, ID)), "string",
+    f"SELECT doc_id, CASE WHEN len(r) >= 32 THEN 'SID-' || printf('%08x', CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN length(r[i]) > 1 THEN CAST(1 AS BIGINT) << (32 - i) ELSE 0 END)) AS BIGINT)) END AS found FROM (SELECT doc_id, regexp_extract_all(marked, ' +') AS r FROM ({WIDE}))")
+over("x23_speech_text", "spoken", e.speech_text, "string",
+    "SELECT doc_id, trim(regexp_replace(replace(translate(nfc_normalize(regexp_replace(coalesce(text, ''), '[^\\PC\\n\\t]', '', 'g')), '“”„«»‘’—–', '\"\"\"\"\"''''--'), '…', '...'), '\\s+', ' ', 'g')) AS spoken FROM documents")
 FOUND = f"SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN 'SID:{ID}' END AS found FROM documents"
 add("x20_detect_id", lambda s, d: e.apply(docs(s, d), ["doc_id"], "text", lambda t: e.detect_id(e.embed_id(t, ID, "middle")), "found", "string"), FOUND)
 add("z30_detect_mark", lambda s, d: e.apply(docs(s, d), ["doc_id"], "text", lambda t: e.detect_mark(e.embed_id(e.embed_spaces(t, ID), ID, "end")), "found", "string"), FOUND)
