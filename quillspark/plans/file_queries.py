@@ -169,10 +169,11 @@ def by_source(s, d):
 
 
 def updates(s, d):
-    """A chunk's completion as an update; one line in seven belongs to no job, one in three brings its own stats."""
+    """A chunk's completion as an update; one line in seven belongs to no job (a negated key would: order 0 is its own), one in
+    three brings its own stats."""
     line = F.col("l_linenumber")
     return table(s, d, "lineitem").select(
-        F.when(line == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("translation_id"), line.alias("chunk"),
+        F.when(line != 7, F.col("l_orderkey")).alias("translation_id"), line.alias("chunk"),
         F.when(line % 3 == 0, F.concat(F.lit("u"), line.cast("string"))).alias("stats"),
         F.when(line % 2 == 0, "llm_response").otherwise("info").alias("log_type"), F.concat(F.lit("r"), line.cast("string")).alias("response"))
 

@@ -1,7 +1,10 @@
 """Stubs of outward effects, SQL functions, the session."""
 
+import pytest
+
 from quillspark.functions import chunking, sql
 from quillspark.operators import effects
+from quillspark.plans.registry import ORACLES, QUERIES
 
 
 def test_speech(spark):
@@ -32,3 +35,20 @@ def test_sql_functions(spark):
     got = spark.sql("SELECT c.* FROM t_chunked, LATERAL chunk_text(text, 50) c ORDER BY chunk_index").collect()
     assert [r.main_content for r in got] == [c["main_content"] for c in chunking.chunks_of(text, 50)]
     assert spark.sql("SELECT has_loop(repeat('not sure. ', 15)) AS x, speech_text('a  b') AS y").first() == (True, "a b")
+
+
+@pytest.mark.parametrize("name", ["k18_progress_events", "k18_last_translation"])
+def test_seventh_lines_belong_to_no_job(spark, tmp_path, name):
+    """Also where a negated key is a job's: 0 is its own, and jobs 5 and -5 are both there."""
+    duckdb = pytest.importorskip("duckdb")
+    lines = [(k, n) for k in (0, 1, 5, -5, None) for n in (1, 2, 3, 7, 7, None)] + [(9, 2), (9, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    jobs = [(0, "F"), (1, None), (5, "O"), (-5, "P"), (None, "F")]
+    spark.createDataFrame(jobs, "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    made = QUERIES[name](spark, str(tmp_path))
+    expected = con.execute(ORACLES[name])
+    assert made.columns == [c[0] for c in expected.description]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(expected.fetchall(), key=str)
