@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+import tempfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,8 @@ from ..functions.chunking import speech_chunks
 from ..functions.exact import speech_text
 
 RATE = 24_000
+#: Bytes of audio in a row, in rows that are sent together, and kept in memory of a file that is not finished.
+PART, SENT, SPOOL = 256 << 10, 2 << 20, 32 << 20
 
 
 def silence(text: str) -> bytes:
@@ -24,22 +28,78 @@ def silence(text: str) -> bytes:
 SPEAKERS: dict[str, Callable[[str], bytes]] = {"silence": silence}
 
 
-def wav(samples: bytes, rate: int = RATE) -> bytes:
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16, b"data", len(samples))
-    return head + samples
+def wav_head(size: int, rate: int = RATE) -> bytes:
+    """What stands before ``size`` bytes of samples; a size that 32 bits do not hold is given as their largest, as in streams."""
+    size = min(size, 0xFFFFFFFF - 36)
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16, b"data", size)
+
+
+def audio_parts(chunks: list[str], say: Callable[[str], bytes], gap: bytes, most: int = PART) -> Iterator[bytes]:
+    """The file of ``chunks`` with ``gap`` between them, in parts of ``most`` bytes and a last one. Its head says how long it is,
+    so samples are kept until the last chunk is spoken, on disk from ``SPOOL`` bytes on."""
+    with tempfile.SpooledTemporaryFile(SPOOL) as samples:
+        for i, chunk in enumerate(chunks):
+            if i:
+                samples.write(gap)
+            samples.write(say(chunk))
+        head = wav_head(samples.tell())
+        samples.seek(0)
+        part = head + samples.read(most - len(head))
+        while part:
+            yield part
+            part = samples.read(most)
+
+
+def _files(batches: Iterator[pa.RecordBatch], speaker: str, most: int, pause: float) -> Iterator[tuple[int, int, Iterator[bytes]]]:
+    """file, doc_id and the parts of every document's file, made one after the other."""
+    say, gap = SPEAKERS[speaker], b"\0\0" * int(pause * RATE)
+    for batch in batches:
+        for file, doc, text in zip(*(batch.column(c) for c in ("file", "doc_id", "text"))):
+            chunks = speech_chunks(speech_text(text.as_py() or ""), most)
+            yield file.as_py(), doc.as_py(), audio_parts(chunks, say, gap)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("file"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def speak(docs: DataFrame, speaker: str = "silence", most: int = 5000, pause: float = 0.5) -> DataFrame:
-    """doc_id, audio: a document's chunks spoken one after the other, with a pause between them."""
-    say = SPEAKERS[speaker]
+    """File, doc_id, part, audio: a document's chunks spoken one after the other, with a pause between them.
+
+    ``file`` tells documents apart (a doc_id may be null or there twice). A file has parts of ``PART`` bytes, from 0, and a last
+    one: joined in order they are it. So neither a long text nor many texts in a batch are held as audio at once.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "doc_id", "part", "audio"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for file, doc, parts in _files(batches, speaker, most, pause):
+            for part, audio in enumerate(parts):
+                rows.append((file, doc, part, audio))
+                size += len(audio)
+                if size >= SENT:
+                    yield sent(rows)
+                    rows, size = [], 0
+        if rows:
+            yield sent(rows)
+
+    return _numbered(docs).mapInArrow(run, "file long, doc_id long, part int, audio binary")
+
+
+def audio_sizes(docs: DataFrame, speaker: str = "silence", most: int = 5000, pause: float = 0.5) -> DataFrame:
+    """doc_id, bytes: samples in every document's file. The files are made whole, as ``speak`` makes them, and measured part
+    by part where they are made: a hundred times a text's size need not go to the JVM to be measured."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gap = b"\0\0" * int(pause * RATE)
-            made = [wav(gap.join(say(c) for c in speech_chunks(speech_text(t or ""), most))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "audio"])
+        made = _files(batches, speaker, most, pause)
+        head = len(wav_head(0))
+        while rows := [(doc, sum(map(len, parts)) - head) for _, doc, parts in islice(made, 1000)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "bytes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, audio binary")
+    return _numbered(docs).mapInArrow(run, "doc_id long, bytes long")
 
 
 def in_batches(rows: DataFrame, order: str, size: int = 5) -> DataFrame:

@@ -121,7 +121,7 @@ add("t2_adaptive_context", lambda s, d: state.run_batch(table(s, d, "events").se
 add("t3_circuit_breaker", lambda s, d: state.run_batch(table(s, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok")), state.circuit_breaker(2), "user_id"))
 add("t6_loop_watch", lambda s, d: state.run_batch(table(s, d, "conversations").select(F.col("turn").alias("event_id"), F.timestamp_seconds("turn").alias("ts"), "conv_id", F.col("text").alias("token")), state.loop_watch(e.has_loop), "conv_id"))
 add("z29_remaining", lambda s, d: state.run_batch(view(s, d, "v_requests"), state.rate_limiter(), "client").groupBy("key").agg(F.max_by("remaining", F.col("tie")).alias("remaining")))
-add("k17_speech", lambda s, d: effects.speak(docs(s, d)).select("doc_id", (F.length("audio") - 44).cast("long").alias("bytes")))
+add("k17_speech", lambda s, d: effects.audio_sizes(docs(s, d)))
 add("t9_batches", lambda s, d: effects.in_batches(docs(s, d).select("doc_id"), "doc_id"), "SELECT doc_id, doc_id // 5 AS batch FROM documents")
 add("x19_language", lambda s, d: language(s, d))
 

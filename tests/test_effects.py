@@ -13,6 +13,56 @@ def test_speech(spark):
     assert got[1][:4] == b"RIFF" and len(got[1]) == 44 + 200 * len("Hello.World") and len(got[2]) == 44
 
 
+def test_speech_in_parts(monkeypatch):
+    """Audio of a batch of texts and of one long text leaves in bounded batches; parts, joined, are the files of one piece."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(effects, "SPOOL", 1 << 20)  # also a file that does not stay in memory
+    texts = ["", None, "Hello. World", "A sentence. " * 20_000, "x" * 7000] + ["Some words here. " * 60] * 200
+    rows = [(i, i // 2 if i else None, t) for i, t in enumerate(texts)]
+    asked = []
+
+    class Numbered:
+        mapInArrow = lambda self, f, ddl: asked.append(f)
+
+    monkeypatch.setattr(effects, "_numbered", lambda docs: Numbered())
+    effects.speak(None)
+    effects.audio_sizes(None)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["file", "doc_id", "text"])
+    sent = list(asked[0](iter([batch])))
+    assert max(b.nbytes for b in sent) <= effects.SENT + 2 * effects.PART
+    parts: dict[int, list] = {}
+    for b in sent:
+        for r in b.to_pylist():
+            assert r["part"] == len(parts.setdefault(r["file"], [])) and len(r["audio"]) <= effects.PART
+            parts[r["file"]].append(r["audio"])
+    gap = bytes(2 * int(0.5 * effects.RATE))
+    for i, doc, text in rows:
+        whole = gap.join(effects.silence(c) for c in effects.speech_chunks(effects.speech_text(text or "")))
+        assert b"".join(parts[i]) == effects.wav_head(len(whole)) + whole
+    sizes = [r for b in asked[1](iter([batch])) for r in b.to_pylist()]
+    assert sizes == [{"doc_id": doc, "bytes": sum(map(len, parts[i])) - 44} for i, doc, _ in rows]
+
+
+def test_speech_sizes(spark):
+    """One row a document, also of a doc_id that is null or there twice; the sizes are those of the audio."""
+    docs = spark.createDataFrame([(1, "Hello. World"), (1, "a" * 6000), (None, None), (2, "")], "doc_id long, text string")
+    sizes = sorted(r["bytes"] for r in effects.audio_sizes(docs).collect())
+    assert sizes == [0, 0, 200 * 12, 200 * 6000 + 24_000]
+    made: dict[int, int] = {}
+    for r in effects.speak(docs).collect():
+        made[r.file] = made.get(r.file, -44) + len(r.audio)
+    assert sorted(made.values()) == sizes
+
+
+def test_heads_of_files_too_long_for_32_bits():
+    assert effects.wav_head(5)[40:] == b"\5\0\0\0" and len(effects.wav_head(1 << 33)) == 44
+
+
+def test_speech_text_drops_every_control_character():
+    assert effects.speech_text("\u200bA\x00\u0301 \ue000“b”…\r\n\tc—d \U000e0001") == 'Á "b"... c-d'
+
+
 def test_batches(spark):
     rows = effects.in_batches(spark.range(11), "id")
     assert [r["count"] for r in rows.groupBy("batch").count().orderBy("batch").collect()] == [5, 5, 1]
