@@ -49,6 +49,19 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return made
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside sends at most ``rows`` rows at once to Python: a batch of texts stands in memory four times, in the JVM
+    where its buffer grows by doubling and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete materialized steps that nothing reads any more."""
     jvm = spark._jvm

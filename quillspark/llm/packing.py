@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table, tidy
+from .common import batches_of, materialize, slices, table, tidy
 
 CAPACITY = 2048
 END_ID = 1
@@ -36,8 +36,10 @@ END_ID = 1
 SHORTEST = 64
 #: Words kept with their ids by a Python worker, twice: of two generations.
 CACHE_WORDS = 350_000
-#: Bytes of text whose words are looked up together, and words that the tokenizer gets as one text.
-SLICE, JOINED = 4 << 20, 256
+#: Bytes of text whose words are looked up together, words that the tokenizer gets as one text, and words it gets at once.
+SLICE, JOINED, TURN = 2 << 20, 256, 1 << 13
+#: Documents that a worker gets at once.
+BATCH_ROWS = 2000
 #: White space or case rules that a cut at ASCII white space would not follow: such texts go to the tokenizer whole.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\u00a0\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]|<\\|")
 #: The rules of a tokenizer whose words may be encoded one by one.
@@ -82,19 +84,23 @@ class WordIds:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _in_turns(self, texts: list[str], n: int) -> Iterator[bytes]:
+        """The tokenizer keeps much more of a text than its ids, so it gets ``n`` texts at once."""
+        for i in range(0, len(texts), n):
+            yield from self._whole(texts[i : i + n])
+
     def _learn(self, fresh: list[str]) -> None:
         """Runs of letters or of marks have one end each, so many go as one text; other words go one by one."""
         runs = [w for w in fresh if w.isalpha() or _MARKS.fullmatch(w)]
         rest = [w for w in fresh if not (w.isalpha() or _MARKS.fullmatch(w))]
         groups = [runs[i : i + JOINED] for i in range(0, len(runs), JOINED)]
-        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups])):
+        for group, ids in zip(groups, self._in_turns([" ".join(g) for g in groups], TURN // JOINED)):
             end = 4 * (np.flatnonzero(self._last[np.frombuffer(ids, "<u4")]) + 1)
             if len(end) == len(group):
                 self._young.update((w, ids[a:b]) for w, a, b in zip(group, [0, *end.tolist()], end.tolist()))
             else:
                 rest += group
-        for i in range(0, len(rest), 10_000):
-            self._young.update(zip(rest[i : i + 10_000], self._whole(rest[i : i + 10_000])))
+        self._young.update(zip(rest, self._in_turns(rest, TURN)))
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words."""
@@ -197,7 +203,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     ``class``: pieces in a bin where capacity / class is the length, else that number and ``capacity``.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(read.mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECE_DDL), "pieces")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        pieces = materialize(read.mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECE_DDL), "pieces")
     counts = pieces.groupBy("class", "task").agg(F.count("*").alias("n"))
     before = counts.select(
         "class", "task",

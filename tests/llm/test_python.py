@@ -587,3 +587,33 @@ def test_full_license_texts_over_line_ends(spark):
     got = {r.doc_id: r for r in license_scan.license_scan(docs(spark, pairs), templates, wrapped=True).collect()}
     assert all(want[i] in got[i].labels.split(",") and got[i].score == 1.0 for i in range(len(want)))
     assert got[1000].labels == ""
+
+
+# -- packing: what a worker holds -------------------------------------------------------------------------------------
+
+
+def test_tokenizer_gets_words_in_turns():
+    """Fresh words of a slice are many; the tokenizer keeps much of each, so it gets a bounded number at once."""
+    from quillspark.llm import packing
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(15_000)] + [f"x{i}y" for i in range(15_000)]
+    rnd.shuffle(words)
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    ids = packing.WordIds(packing.default_tokenizer())
+    whole, asked = ids._whole, []
+    expected = whole(texts)
+    ids._whole = lambda part: asked.append(sum(len(t.split()) for t in part)) or whole(part)
+    assert ids.by_word and ids(texts) == expected
+    assert max(asked) <= packing.TURN < sum(asked)
+
+
+def test_batches_sent_to_python_are_bounded(spark):
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), common.batches_of(spark, 7):
+        got = [r.n for r in spark.range(0, 100, 1, 2).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 100 and max(got) == 7
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == before
