@@ -29,7 +29,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.default_tokenizer())
+    # Fewer words are remembered than by packing alone: executors still hold what the stages before have left.
+    return packing.pack(docs, packing.default_tokenizer(), cache_words=150_000)
 
 
 STAGES = [

@@ -151,6 +151,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
+            _POW.clear()  # made again in milliseconds; else the worker keeps it through later stages
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)

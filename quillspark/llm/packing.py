@@ -66,7 +66,7 @@ class WordIds:
     """Ids of whole texts. Where the tokenizer's rules keep ids inside words, a slice's distinct words are looked up and its
     texts are gathered from them; the words' ids are remembered as bytes. Any other tokenizer gets the texts whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,6 +78,7 @@ class WordIds:
         vocabulary = self._tokenizer.get_vocab()
         self._last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self._last[[i for t, i in vocabulary.items() if t.endswith(_END)]] = True
+        self._most = cache_words
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -119,7 +120,7 @@ class WordIds:
         self._learn(list(fresh))
         for i, found in parts.items():
             out[i] = b"".join(young[part] for part in found)
-        if len(young) > CACHE_WORDS:
+        if len(young) > self._most:
             self._old, self._young = young, {}
         return out
 
@@ -147,14 +148,14 @@ class WordIds:
         return out
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
+_TOKENIZERS: dict[tuple[str, int], WordIds] = {}
 
 
-def tokenizer_of(path: str) -> WordIds:
+def tokenizer_of(path: str, cache_words: int = CACHE_WORDS) -> WordIds:
     """One for a Python worker: later tasks find the words of earlier ones."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    if (path, cache_words) not in _TOKENIZERS:
+        _TOKENIZERS[path, cache_words] = WordIds(path, cache_words)
+    return _TOKENIZERS[path, cache_words]
 
 
 def cut(n: int, capacity: int = CAPACITY, shortest: int = SHORTEST) -> list[int]:
@@ -176,9 +177,9 @@ PIECE = pa.schema([
 _PIECE_DDL = "task int, rank long, class int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, cache_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, ranks = tokenizer_of(path), TaskContext.get().partitionId(), {}
+        encode, task, ranks = tokenizer_of(path, cache_words), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
@@ -197,14 +198,14 @@ def _pieces(path: str, capacity: int, end_id: int):
     return tidy(run)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its class.
 
     ``class``: pieces in a bin where capacity / class is the length, else that number and ``capacity``.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with batches_of(docs.sparkSession, BATCH_ROWS):
-        pieces = materialize(read.mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECE_DDL), "pieces")
+        pieces = materialize(read.mapInArrow(_pieces(tokenizer_path, capacity, end_id, cache_words), _PIECE_DDL), "pieces")
     counts = pieces.groupBy("class", "task").agg(F.count("*").alias("n"))
     before = counts.select(
         "class", "task",
